@@ -50,15 +50,15 @@ def over_number(ball: Column) -> Column:
     return (F.floor(ball) + 1).cast("int")
 
 
+# Dates written as two short numbers and a year; the second form is tried last.
+MONTH_FIRST = r"^(0?[1-9]|1[0-2])[/.-](\d{1,2})[/.-](\d{4})$"
+DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
+
+
 def match_date(text: Column) -> Column:
     """Date from mixed texts: ISO, else month first, else day first when the month would exceed 12."""
-    text = F.trim(text)
-    part = F.split(text, "[/.-]")
-    a, b, y = (F.get(part, F.lit(i)) for i in range(3))
-    day_first = a.try_cast("int") > 12
-    slashed = F.when(day_first, F.concat_ws("-", y, b, a)).otherwise(F.concat_ws("-", y, a, b))
-    iso = F.substring(text, 1, 10).try_cast("date")
-    return F.when(text.rlike(r"^\d{4}-"), iso).otherwise(slashed.try_cast("date"))
+    iso = F.regexp_replace(F.regexp_replace(text, MONTH_FIRST, "$3-$1-$2"), DAY_FIRST, "$3-$2-$1")
+    return iso.try_cast("date")
 
 
 def phase_of(over: Column) -> Column:

@@ -33,11 +33,9 @@ def cells_of(
     A contribution may have a NULL denominator: it counts for the stratum but does not
     make the entity a member, so a cell of such rows alone has a NULL denominator.
     """
-    return (
-        contributions.dropna(subset=list(strata))
-        .groupBy(*strata, entity)
-        .agg(*[F.sum(m).alias(m) for m in [*numerators, denominator]])
-    )
+    for key in strata:
+        contributions = contributions.filter(F.col(key).isNotNull())
+    return contributions.groupBy(*strata, entity).agg(*[F.sum(m).alias(m) for m in [*numerators, denominator]])
 
 
 def loo_expected(

@@ -52,7 +52,7 @@ def deliveries_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "inn AS innings",
         "concat(2021 + m % 4, '-0', 1 + m % 9, '-1', m % 10) AS start_date",
         "concat('V', m % 13) AS venue",
-        "CAST(concat(s div 6, '.', s % 6 + 1) AS DOUBLE) AS ball",
+        "(s + 4 * (s div 6) + 1) / 10D AS ball",
         "striker",
         "non_striker",
         "concat('B', tw * 7 + (s div 6) % 6) AS bowler",
