@@ -63,17 +63,19 @@ def match_date(text: Column) -> Column:
 
 def phase_of(over: Column) -> Column:
     """Phase label of an over, NULL outside 0..20."""
-    label = F.lit(None).cast("string")
-    for name, first, last in reversed(PHASES):
-        label = F.when(over.between(first, last), name).otherwise(label)
+    label = F.when(over < PHASES[0][1], F.lit(None).cast("string"))
+    for name, _, last in PHASES:
+        label = label.when(over <= last, name)
     return label
 
 
+def in_a_phase(over: Column) -> Column:
+    return over.between(PHASES[0][1], PHASES[-1][2])
+
+
 def bowling_style(code: Column) -> Column:
-    style = F.lit(OTHER_STYLE)
-    for name, codes in STYLES.items():
-        style = F.when(code.isin(codes), name).otherwise(style)
-    return style
+    pairs = [F.lit(x) for style, codes in STYLES.items() for c in codes for x in (c, style)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), code), F.lit(OTHER_STYLE))
 
 
 def bowling_category(code: Column) -> Column:

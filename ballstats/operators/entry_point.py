@@ -100,7 +100,3 @@ def career_profile(deliveries: DataFrame, player: str, team: str, max_innings: i
         F.mode(F.when(played, F.col("team")), True).alias("team"),
     )
 
-
-def main_team(rows: DataFrame) -> DataFrame:
-    """Most frequent team per player over the given rows; the smallest name on a tie."""
-    return rows.groupBy("player").agg(F.mode("team", True).alias("team"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballstats.functions.deliveries import PHASES, phase_of
+from ballstats.functions.deliveries import PHASES, in_a_phase, phase_of
 from ballstats.functions.numeric import np_div
 from ballstats.operators.totals import with_group_totals
 
@@ -26,20 +26,26 @@ def _all_phases(table: DataFrame, keys: Sequence[str], measures: Sequence[str])
 
 
 def phase_totals(
-    cells: DataFrame, measures: dict[str, object], dense: bool = False, keys: Sequence[str] = ("year", "player")
+    cells: DataFrame, measures: dict[str, Column], dense: bool = False, keys: Sequence[str] = ("year", "player")
 ) -> DataFrame:
-    """Aggregate cells per (*keys, phase); ``measures`` maps names to aggregate expressions."""
+    """Aggregate cells per (*keys, phase); ``measures`` maps names to aggregate expressions.
+
+    ``dense`` gives every player all four phases.  Otherwise the deliveries should be limited
+    to the phases beforehand (:func:`in_phases`), which leaves other strata as they are and,
+    unlike a filter on the finished cells, is the same for every use of the cells.
+    """
     keys = list(keys)
     table = (
         with_phase(cells)
         .groupBy(*keys, "phase")
         .agg(*[expr.alias(name) for name, expr in measures.items()])
     )
-    if dense:
-        # players without any phase still get their four rows
-        filled = _all_phases(table, keys, list(measures))
-        return filled.filter(F.col("phase").isNotNull())
-    return table.filter(F.col("phase").isNotNull())
+    # players whose every over is outside the phases still get their four rows
+    return _all_phases(table, keys, list(measures)).filter(F.col("phase").isNotNull()) if dense else table
+
+
+def in_phases(deliveries: DataFrame) -> DataFrame:
+    return deliveries.filter(in_a_phase(F.col("over")))
 
 
 def with_means(table: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ballstats.functions.metrics import BATTING_METRICS, with_batting_metrics
 from ballstats.functions.numeric import exact_sum, round2
-from ballstats.operators.baseline import CLAMP1, IEEE, INCLUSIVE, loo_expected, roll_up
-from ballstats.operators.entry_point import career_profile, entry_points, main_team, season_roster
+from ballstats.operators.baseline import CLAMP1, IEEE, INCLUSIVE, cells_of, loo_expected, roll_up
+from ballstats.operators.entry_point import career_profile, entry_points, season_roster
 from ballstats.operators.filters import Filters, bounds, chosen_players, main_innings, within
-from ballstats.operators.phases import phase_totals, with_means, with_phase
+from ballstats.operators.phases import in_phases, phase_totals, with_means, with_phase
 
 STRATA = ["year", "venue", "over"]
 TOTALS = ["runs_scored", "bf", "out"]
@@ -182,26 +182,10 @@ def phase_table(
     deliveries: DataFrame, filters: Filters = Filters(), max_innings: int | None = 2, dense: bool = False
 ) -> DataFrame:
     """Runs, balls and outs per (year, player, phase) beside those of all players in the phase."""
-    cells = batting_cells(main_innings(filters.apply(deliveries), max_innings))
-    sums = {m: F.sum(m) for m in TOTALS}
-    return with_means(phase_totals(cells, sums, dense), ["year", "phase"])
+    main = main_innings(filters.apply(deliveries), max_innings)
+    main = main if dense else in_phases(main)
+    cells = cells_of(batting_contributions(main), "player", STRATA, ["runs_scored", "out"], "bf")
+    members = cells.filter(F.col("player").isNotNull() & F.col("bf").isNotNull())
+    return with_means(phase_totals(members, {m: F.sum(m) for m in TOTALS}, dense), ["year", "phase"])
 
 
-def phase_table_by_column(cells: DataFrame) -> DataFrame:
-    """The same from cells that already carry a phase column."""
-    table = cells.dropna(subset=["phase"]).groupBy("year", "player", "phase").agg(
-        *[F.sum(m).alias(m) for m in TOTALS]
-    )
-    return with_means(table, ["year", "phase"])
-
-
-__all__ = [
-    "BattingThresholds",
-    "batting_cells",
-    "batting_overall",
-    "batting_phase_season",
-    "batting_season",
-    "main_team",
-    "phase_table",
-    "phase_table_by_column",
-]

@@ -12,7 +12,7 @@ from ballstats.functions.numeric import exact_sum, over_ball, round2
 from ballstats.operators.baseline import IEEE, loo_expected, roll_up
 from ballstats.operators.entry_point import appearances, median_entry
 from ballstats.operators.filters import Filters, chosen_players, main_innings, within
-from ballstats.operators.phases import phase_totals
+from ballstats.operators.phases import in_phases, phase_totals
 
 STRATA = ["year", "venue", "over"]
 TOTALS = ["b", "runs_conceded", "wicket"]
@@ -151,5 +151,7 @@ def bowling_phase(
     dense: bool = False,
 ) -> DataFrame:
     """Totals and expected values per (year, player, phase)."""
+    chosen = filters.apply(deliveries)
+    chosen = chosen if dense else in_phases(chosen)
     sums = {m: F.sum(m) for m in TOTALS} | {e: exact_sum(e) for e in EXPECTED}
-    return phase_totals(bowling_cells(filters.apply(deliveries), empty_baseline), sums, dense)
+    return phase_totals(bowling_cells(chosen, empty_baseline), sums, dense)

@@ -97,7 +97,7 @@ def matchup_overall(
 ) -> DataFrame:
     """One row per (player, style): rounded seasons added up, ratios formed again."""
     main = main_innings(filters.apply(deliveries), max_innings)
-    rows = _season_rows(main.dropna(subset=[by]), by, empty_baseline, compat)
+    rows = _season_rows(main.filter(F.col(by).isNotNull()), by, empty_baseline, compat)
     sums = [F.sum(m).alias(m) for m in ["innings_count", *TOTALS]]
     careers = rows.groupBy("player", by).agg(*sums, *[exact_sum(e).alias(e) for e in EXPECTED])
     table = with_batting_metrics(careers).withColumns({c: round2(c) for c in [*EXPECTED, *BATTING_METRICS]})

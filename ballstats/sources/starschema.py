@@ -19,10 +19,11 @@ def _sql_list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def deliveries_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw deliveries, one per event, with ``seq`` = event_id as the file order.
+def _balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events placed in a match: 246 to a match, 120 balls, 120 balls and a super over of 6.
 
-    A match is 246 events: 120 balls, 120 balls and a super over of 6.
+    Short expressions on purpose: a filter on a derived column reaches the scan with the
+    whole derivation written out in it.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     placed = events.selectExpr(
@@ -45,6 +46,7 @@ def deliveries_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(pos = 3 AND m % 5 = 0, concat('PX', m % 4), concat('P', tb * 12 + pos)) AS striker",
         "if(pos2 = 3 AND m % 5 = 0, concat('PX', m % 4), concat('P', tb * 12 + pos2)) AS non_striker",
         "NOT is_out AND event_id % 37 = 0 AS is_run_out",
+        "tw * 7 + (s div 6) % 6 AS bowler_no",
     )
     return named.selectExpr(
         "event_id AS seq",
@@ -55,7 +57,7 @@ def deliveries_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "(s + 4 * (s div 6) + 1) / 10D AS ball",
         "striker",
         "non_striker",
-        "concat('B', tw * 7 + (s div 6) % 6) AS bowler",
+        "bowler_no",
         "concat('T', tb) AS batting_team",
         "concat('T', tw) AS bowling_team",
         "if(event_id % 23 = 0, 0, CAST(floor(value) % 7 AS INT)) AS runs_off_bat",
@@ -67,13 +69,21 @@ def deliveries_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deliveries_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw deliveries, one per event, with ``seq`` = event_id as the file order."""
+    balls = _balls(spark, sf_dir)
+    columns = [c for c in balls.columns if c != "bowler_no"]
+    columns.insert(columns.index("non_striker") + 1, "concat('B', bowler_no) AS bowler")
+    return balls.selectExpr(*columns)
+
+
 def typed_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows in the typed layout."""
     return (
-        deliveries_from_events(spark, sf_dir)
+        _balls(spark, sf_dir)
         .selectExpr(
             "*",
-            f"get(array({_sql_list(STYLE_CODES)}), CAST(substring(bowler, 2) AS INT) % 16) AS code",
+            f"get(array({_sql_list(STYLE_CODES)}), CAST(bowler_no % 16 AS INT)) AS code",
             "player_dismissed IS NOT NULL AS fell",
         )
         .selectExpr(
