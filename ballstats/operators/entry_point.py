@@ -40,35 +40,40 @@ def entry_points(
     )
 
 
+def _once_per_match(rows: DataFrame, key: Sequence[str]) -> Column:
+    """1 on one appearance of each (*key, match), the earliest innings, and 0 on its others.
+
+    Summing it counts matches without a distinct aggregation, whose groups per match would
+    each carry a median's buffer.  The window sees the few innings of a player in a match.
+    """
+    match = Window.partitionBy(*key, "match_id").orderBy("innings", "team")
+    return F.when(F.row_number().over(match) == 1, 1).otherwise(0)
+
+
 def season_roster(
     deliveries: DataFrame, player: str, team: str, by: Sequence[str] = (), compat: bool = False
 ) -> DataFrame:
     """Every (player, year, *by, team) with matches played and median entry point.
 
-    Matches are counted per (player, year, *by) over all teams, entry points per team.  Both
-    levels come from one pass over the appearances (grouping sets); a window over the few
-    teams of a player's season then puts them side by side.  With ``compat`` the entry
-    points are matched without the team, so a player of n teams gets n * n rows.
+    Matches are counted per (player, year, *by) over all teams, entry points per team; the
+    window that adds the teams up sees the few teams of a player's season.  With ``compat``
+    the entry points are matched without the team, so a player of n teams gets n * n rows.
     """
     key = ["player", "year", *by]
-    levels = (
-        appearances(deliveries, player, [*by, team])
-        .withColumnRenamed(team, "team")
-        .groupingSets([[*key, "team"], key], *key, "team")
-        .agg(
-            F.count_distinct("match_id").alias("_matches"),
-            median_entry(compat).alias("_median"),
-            F.grouping("team").alias("_whole_season"),
-        )
+    rows = appearances(deliveries, player, [*by, team]).withColumnRenamed(team, "team")
+    teams = (
+        rows.withColumn("_match", _once_per_match(rows, key))
+        .groupBy(*key, "team")
+        .agg(F.sum("_match").alias("_matches"), median_entry(compat).alias("_median"))
     )
-    season = Window.partitionBy(*key)
     known = F.lit(True)
     for c in by:
         known = known & F.col(c).isNotNull()
-    matches = F.max(F.when(F.col("_whole_season") == 1, F.col("_matches"))).over(season)
-    roster = levels.withColumn("innings_count", F.when(known, matches)).filter("_whole_season = 0")
+    matches = F.sum("_matches").over(Window.partitionBy(*key))
     entry = F.when(F.col("team").isNotNull(), over_ball("_median"))
-    roster = roster.select(*key, "team", "innings_count", entry.alias("median_entry_point"))
+    roster = teams.select(
+        *key, "team", F.when(known, matches).alias("innings_count"), entry.alias("median_entry_point")
+    )
     if not compat:
         return roster
     entries = roster.filter(F.col("team").isNotNull()).select(*key, "median_entry_point")
@@ -78,25 +83,21 @@ def season_roster(
 def career_profile(deliveries: DataFrame, player: str, team: str, max_innings: int | None) -> DataFrame:
     """Per player: main team, matches summed over seasons, and median entry point.
 
-    Team and matches look at innings up to ``max_innings``, the entry point at all.  The three
+    Team and matches look at innings up to ``max_innings``, the entry point at all.  Both
     grains are grouping sets of one pass over the appearances.
     """
+    rows = appearances(deliveries, player, [team]).withColumnRenamed(team, "team")
     main = F.lit(True) if max_innings is None else F.col("innings") <= max_innings
-    levels = (
-        appearances(deliveries, player, [team])
-        .withColumnRenamed(team, "team")
-        .withColumn("_main_match", F.when(main, F.col("match_id")))
-        .groupingSets([["player", "year", "team"], ["player", "year"], ["player"]], "player", "year", "team")
-        .agg(
-            F.count_distinct("_main_match").alias("_matches"),
-            median_entry().alias("_median"),
-            F.grouping_id().alias("_level"),
-        )
+    rows = rows.withColumn("_match", F.when(main, _once_per_match(rows, ["player", "year"])))
+    levels = rows.groupingSets([["player", "year", "team"], ["player"]], "player", "year", "team").agg(
+        F.sum("_match").alias("_matches"),
+        median_entry().alias("_median"),
+        F.grouping("year").alias("_career"),
     )
-    played = (F.col("_level") == 0) & (F.col("_matches") > 0)
+    # NULL matches: no appearance up to max_innings
+    season = (F.col("_career") == 0) & F.col("_matches").isNotNull()
     return levels.groupBy("player").agg(
-        over_ball(F.max(F.when(F.col("_level") == 3, F.col("_median")))).alias("median_entry_point"),
-        F.nullif(F.sum(F.when(F.col("_level") == 1, F.col("_matches"))), F.lit(0)).alias("innings_count"),
-        F.mode(F.when(played, F.col("team")), True).alias("team"),
+        over_ball(F.max(F.when(F.col("_career") == 1, F.col("_median")))).alias("median_entry_point"),
+        F.max(F.when(F.col("_career") == 1, F.col("_matches"))).alias("innings_count"),
+        F.mode(F.when(season, F.col("team")), True).alias("team"),
     )
-

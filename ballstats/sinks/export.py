@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ballstats.functions.numeric import round2
 from ballstats.plans.progression import pivot_by_ball
+from ballstats.sources.tables import scratch_path
 
 PIVOT_WIDTH = 1000
 
@@ -29,7 +30,7 @@ def write_by_year(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overw
 
 
 def export_ball_by_ball(running: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Every delivery with its running totals."""
+    """Every delivery with its running totals; a CSV leaves out a position that is no number."""
     flat = [F.col(c) for c, kind in running.dtypes if fmt != "csv" or not kind.startswith("struct")]
     write_by_year(running.select(*flat), path, fmt)
 
@@ -54,13 +55,19 @@ def export_pivots(
     """One wide CSV per season: a row per balls, a column per player of that season.
 
     Seasons of more than ``width`` players continue in further files (``part=1``, ...) with the
-    same rows, so no player is left out.  Only the player names come to the driver, since
-    they become column names.  Returns the folders written.
+    same rows, so no player is left out.  The averages are written once as a table by year in
+    the shared folder; each file then reads its own year of that, not the deliveries.  Only the
+    player names come to the driver, since they become column names.  Returns the folders.
     """
-    known = by_ball.filter(F.col(value).isNotNull())
-    wanted = known if years is None else known.filter(F.col("year").isin(list(years)))
+    spark = by_ball.sparkSession
+    known = by_ball.filter(F.col(value).isNotNull()).select("year", "player", "balls", value)
+    if years is not None:
+        known = known.filter(F.col("year").isin(list(years)))
+    table = scratch_path(spark)
+    write_by_year(known, table, "parquet")
+    known = spark.read.schema(known.schema).parquet(table)
     names: dict[int, list[str]] = {}
-    for year, player in wanted.select("year", "player").distinct().orderBy("year", "player").collect():
+    for year, player in known.select("year", "player").distinct().orderBy("year", "player").collect():
         names.setdefault(year, []).append(player)
     folders = []
     for year, players in names.items():
