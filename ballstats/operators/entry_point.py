@@ -29,13 +29,16 @@ def median_entry(truncate: bool = False) -> Column:
 def entry_points(
     deliveries: DataFrame, player: str, by: Sequence[str] = (), compat: bool = False
 ) -> DataFrame:
-    """Median entry point per (player, *by) as over.ball; rows with a NULL ``by`` are left out."""
+    """Median entry point per (player, *by) as over.ball; rows with a NULL ``by`` are left out.
+
+    ``compat`` cuts delivery numbers and, over whole careers, rounds the stored binary value.
+    """
     inner = [c for c in by if c != "year"]
     return (
         appearances(deliveries.dropna(subset=list(by)) if by else deliveries, player, inner)
         .groupBy("player", *by)
         .agg(median_entry(compat).alias("_median"))
-        .withColumn("median_entry_point", over_ball("_median", exact=compat and not by))
+        .withColumn("median_entry_point", over_ball("_median", exact=compat and "year" not in by))
         .drop("_median")
     )
 

@@ -16,17 +16,12 @@ def batting_positions(deliveries: DataFrame, order: str = "seq", chunk_rows: int
     """
     side = ["match_id", "batting_team"]
     valid = deliveries.dropna(subset=[*side, "striker"])
-    spells = (
-        valid.withColumn("_chunk", chunk_of(deliveries, order, chunk_rows))
-        .groupBy(*side, "striker", "_chunk")
-        .agg(F.min(order).alias("_first"), F.min_by("non_striker", order).alias("_partner"))
-    )
-    strikers = spells.groupBy(*side, "striker").agg(
-        F.min("_first").alias("_first"), F.min_by("_partner", "_first").alias("_partner")
-    )
-    openers = strikers.groupBy(*side).agg(
-        F.min_by("striker", "_first").alias("_opener"), F.min_by("_partner", "_first").alias("_second")
+    # the non-striker is a key, not a carried value: only the position is aggregated, in a hash map
+    pairs = valid.groupBy(*side, "striker", "non_striker").agg(F.min(order).alias("_first"))
+    openers = pairs.groupBy(*side).agg(
+        F.min_by("striker", "_first").alias("_opener"), F.min_by("non_striker", "_first").alias("_second")
     )
+    strikers = pairs.groupBy(*side, "striker").agg(F.min("_first").alias("_first"))
     alone = F.col("_opener").eqNullSafe(F.col("_second"))
     opening = (
         F.when(F.col("striker").eqNullSafe(F.col("_second")), 2)
@@ -39,7 +34,8 @@ def batting_positions(deliveries: DataFrame, order: str = "seq", chunk_rows: int
     )
     position = F.coalesce("_opening", F.col("_rank") + F.when(F.col("_alone"), 1).otherwise(2))
     placed = placed.select(*side, "striker", position.cast("int").alias("batting_position"))
-    return spells.select(*side, "striker", "_chunk").join(placed, [*side, "striker"])
+    spells = valid.select(*side, "striker", chunk_of(deliveries, order, chunk_rows).alias("_chunk")).distinct()
+    return spells.join(placed, [*side, "striker"])
 
 
 def with_batting_position(

@@ -647,6 +647,9 @@ expected_runs, expected_outs FROM loo"""),
         "entry_point_season": entry_statement("striker", ["year", "batting_team"], MAIN),
         "entry_point_overall": entry_statement("striker", [], EVERY),
         "entry_point_bowling": entry_statement("bowler", ["year", "bowling_team"], EVERY),
+        "entry_point_matchup": statement(
+            TYPED, chosen(), EVERY, first_balls("striker", "types"),
+            entries("striker", ["types"], truncate=True, exact=True), final="SELECT * FROM entries"),
         "filter_stack": statement(D, chosen(STACK), final="""SELECT seq, CAST(date AS VARCHAR) AS date, over, innings,
 batting_team, bowling_team FROM chosen"""),
         "filter_teams": statement(D, chosen(), final="""SELECT seq, batting_team, bowling_team, 'both' AS rule FROM chosen
@@ -691,7 +694,7 @@ count(*) AS balls, {isum('runs_off_bat')} AS runs, count(DISTINCT striker) AS st
         "typed_union": statement(TYPED, final=f"""SELECT competition, types, bowl_cat, count(*) AS n, {isum('runs_off_bat')} AS runs,
 {isum('runs_off_bat + extras')} AS rc, {isum('b')} AS balls, {isum('CAST(wicket AS INTEGER)')} AS wickets
 FROM d GROUP BY ALL"""),
-        "table_ingest": bat_season(where="over BETWEEN 1 AND 20 AND match_id % 4 IN (0, 2)"),
+        "table_ingest": bat_season(),
         "export_running": statement(*striker, final=bat_running.format(c="year, seq, striker, runs, balls, wickets")),
         "export_batter_progression": bat_prog,
         "export_bowler_progression": bowl_prog,

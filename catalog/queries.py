@@ -134,6 +134,10 @@ def entry_point_bowling(spark, sf):
     return entry_points(bs.Filters().apply(deliveries(spark, sf)), "bowler", ["year", "bowling_team"])
 
 
+def entry_point_matchup(spark, sf):
+    return entry_points(bs.Filters().apply(typed(spark, sf)), "striker", ["types"], compat=True)
+
+
 def player_season_label(spark, sf):
     rows = bs.batting_season(deliveries(spark, sf))
     return rows.select("team", season_label(F.col("player"), F.col("year")).alias("player2"), "runs_scored")
@@ -315,7 +319,7 @@ def table_ingest(spark, sf):
     path = scratch_path(spark)
     raw = deliveries_from_events(spark, sf)
     ingest(raw.withColumn("league", F.concat(F.lit("L"), F.col("match_id") % 4)), path)
-    return bs.batting_season(read_table(spark, path, ["L0", "L2"]))
+    return bs.batting_season(read_table(spark, path))
 
 
 def export_running(spark, sf):
@@ -393,6 +397,7 @@ QUERIES = {
     "entry_point_season": entry_point_season,
     "entry_point_overall": entry_point_overall,
     "entry_point_bowling": entry_point_bowling,
+    "entry_point_matchup": entry_point_matchup,
     "filter_stack": filter_stack,
     "filter_teams": filter_teams,
     "players_semi": players_semi,
