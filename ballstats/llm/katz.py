@@ -29,7 +29,7 @@ from ballstats.llm.tokens import LOWER, SPACES, blocks, word_hashes, words
 CUTOFF = 5
 TAIL = 0.01  # counts above the cutoff lose this much, so that any context has something left
 CHUNK_TOKENS = 4_000_000
-SLICES, PARTS = 3, 12
+SLICES, PARTS = 3, 24
 HOT_SAMPLE, HOT_SHARE = 2000, 1 / 64
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 _BLOBS = "kind string, chunk bigint, a binary, b binary, c binary, d binary"
@@ -190,10 +190,13 @@ def _unpack(row: dict) -> _Chunk:
 
 def _count(table: pa.Table, hot: np.ndarray) -> pa.Table:
     """One owner's tables and sums from the chunks' pairs."""
-    rows = table.to_pylist()
-    out = [("keys", r["chunk"], r["a"], None, None, None) for r in rows if r["kind"] == "keys"]
-    chunks = [_unpack(r) for r in rows if r["kind"] == "pairs"]
-    del rows
+    out, chunks = [], []
+    for batch in table.to_batches(max_chunksize=1):
+        (row,) = batch.to_pylist()
+        if row["kind"] == "keys":
+            out.append(("keys", row["chunk"], row["a"], None, None, None))
+        else:
+            chunks.append(_unpack(row))
     if chunks:
         out += _count_chunks(chunks, hot)
     columns = list(zip(*out, strict=True)) if out else [()] * 6
@@ -205,18 +208,19 @@ def _count(table: pa.Table, hot: np.ndarray) -> pa.Table:
 def _count_chunks(chunks: list[_Chunk], hot: np.ndarray) -> list[tuple]:
     out: list[tuple] = []
     before, token = (np.concatenate([getattr(c, n) for c in chunks]) for n in ("before", "token"))
-    place = [np.repeat(np.arange(len(c.token)), c.uses) for c in chunks]
+    place = [np.repeat(np.arange(len(c.token), dtype=np.int32), c.uses) for c in chunks]
     counts = np.concatenate(
         [np.bincount(p, c.trained[c.docs], len(c.token)).astype(np.int64) for p, c in zip(place, chunks, strict=True)]
     )
     order = np.lexsort((token, before))
     begins = _runs(before[order], token[order])
-    of_pair = np.empty(len(order), np.int64)
-    of_pair[order] = np.repeat(np.arange(len(begins)), _sizes(begins, len(order)))
+    of_pair = np.empty(len(order), np.int32)
+    of_pair[order] = np.repeat(np.arange(len(begins), dtype=np.int32), _sizes(begins, len(order)))
     count = np.add.reduceat(counts[order], begins) if len(begins) else counts
-    before, token = before[order][begins], token[order][begins]
+    before, token = before[order[begins]], token[order[begins]]
+    del order, counts
     heads = _runs(before) if len(before) else begins
-    of_head = np.repeat(np.arange(len(heads)), _sizes(heads, len(before)))
+    of_head = np.repeat(np.arange(len(heads), dtype=np.int32), _sizes(heads, len(before)))
     context = before[heads]
     total = np.add.reduceat(count, heads) if len(heads) else count
     if len(hot):  # of a shared first word this task sees a part; the chunks sent its whole count
@@ -247,12 +251,13 @@ def _count_chunks(chunks: list[_Chunk], hot: np.ndarray) -> list[tuple]:
     for c, p in zip(chunks, place, strict=True):
         pair = of_pair[at : at + len(c.token)][p]
         at += len(c.token)
-        head, n = of_head[pair], len(c.trained)
-        k = count[pair]
-        sums = np.stack([np.bincount(c.docs, x, n) for x in (value[pair], base[head])])
-        tallies = [np.bincount(c.docs, minlength=n), np.bincount(c.docs, known_word[head], n)]
-        tallies += [np.bincount(c.docs, k == r, n) for r in range(1, CUTOFF + 1)]
-        out.append(("sums", c.number, sums.tobytes(), np.stack(tallies).astype(np.uint32).tobytes(), None, None))
+        head, k = of_head[pair], count[pair]
+        own, doc = np.unique(c.docs, return_inverse=True)
+        n = len(own)
+        sums = np.stack([np.bincount(doc, x, n) for x in (value[pair], base[head])])
+        tallies = [np.bincount(doc, minlength=n), np.bincount(doc, known_word[head], n)]
+        tallies += [np.bincount(doc, k == r, n) for r in range(1, CUTOFF + 1)]
+        out.append(("sums", c.number, own.tobytes(), sums.tobytes(), np.stack(tallies).astype(np.uint32).tobytes(), None))
         new = np.flatnonzero(k == 0)
         if len(new):
             lone = own_total[pair[new]] == 0
@@ -271,8 +276,9 @@ def _documents(table: pa.Table) -> pa.Table:
     sums, tallies = np.zeros((2, n)), np.zeros((2 + CUTOFF, n), np.int64)
     for r in rows:
         if r["kind"] == "sums":
-            sums += np.frombuffer(r["a"], np.float64).reshape(2, n)
-            tallies += np.frombuffer(r["b"], np.uint32).reshape(2 + CUTOFF, n)
+            own = np.frombuffer(r["a"], np.uint32)
+            sums[:, own] += np.frombuffer(r["b"], np.float64).reshape(2, -1)
+            tallies[:, own] += np.frombuffer(r["c"], np.uint32).reshape(2 + CUTOFF, -1)
     columns = [
         pa.array([table["chunk"][0].as_py()] * n, pa.int64()),
         pa.array(np.arange(n)),
@@ -394,7 +400,7 @@ def score(
         row_key(F.col(doc_id), F.col(text)).alias("key"), bytes_of(F.col(text)).alias("text"), (~held_out(F.col(doc_id))).alias("train")
     )
     spark = docs.sparkSession
-    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")) // slices)
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = _frequent(rows, share=hot_share)
     trained = docs.filter(~held_out(F.col(doc_id))).count()
 
