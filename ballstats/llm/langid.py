@@ -177,22 +177,26 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray, span: int = SPAN) ->
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_texts: int = SAMPLE_TEXTS) -> Net:
     """Train on a bounded sample: ``sample_texts`` pieces of ``SAMPLE_CHARS`` characters, shared evenly by the languages.
 
-    Of each language the rows with the least key hashes are taken, each with a piece from a place
-    that its hash chooses.  Only this sample reaches the driver.
+    Of each language the rows with the least key hashes below a bound are taken, each with a piece
+    from a place that its hash chooses.  Only this sample reaches the driver.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    languages = rows.select(lang).distinct().limit(MAX_LANGUAGES + 1).count()
-    if languages > MAX_LANGUAGES:
+    counts = rows.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not languages:
+    if not counts:
         return train([], [])
+    each = max(1, sample_texts // len(counts))
+    # about twice as many rows as are wanted, so that ranking them is little work whatever the table's size
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, 2 * each / r[1]))])
     order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
+    rows = rows.filter(F.pmod(order, F.lit(1 << 40)) < F.element_at(share, F.col(lang)) * float(1 << 40))
     start = F.pmod(order, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1)).cast("long")).cast("int") + 1
     chosen = rows.select(
         F.col(lang).alias("lang"), order.alias("order"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("piece")
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
-    sample = chosen.withColumn("rank", rank).filter(F.col("rank") <= max(1, sample_texts // languages))
+    sample = chosen.withColumn("rank", rank).filter(F.col("rank") <= each)
     got = sample.orderBy("lang", "rank").collect()
     return train([r.piece.encode() for r in got], [r.lang for r in got])
 
