@@ -51,6 +51,9 @@ def directory(keys: DataFrame, capacity: int = BUCKET_ENTRIES, max_depth: int =
     leaves, unsplit, depth = [], fine, 0
     while True:
         level = unsplit.groupBy(_prefix("fine", depth, max_depth).alias("prefix")).agg(F.sum("n").alias("n"))
+        if depth:  # a half that got no entry is a bucket, too
+            halves = overfull.select(F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+            level = halves.join(level, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
         full = (F.col("n") > capacity) & F.lit(depth < max_depth)
         leaves.append(level.filter(~full).select("prefix", F.lit(depth).alias("depth")))
         overfull = level.filter(full).select("prefix")

@@ -77,11 +77,15 @@ def train(
     hidden: int = HIDDEN,
     span: int = SPAN,
     epochs: int = 12,
+    least_steps: int = 500,
     batch: int = 256,
     rate: float = 0.01,
     seed: int = 7,
 ) -> Net:
-    """Fit by backpropagation through time: every position of a span learns its text's language."""
+    """Fit by backpropagation through time: every position of a span learns its text's language.
+
+    Few texts are gone over more often, so that there are ``least_steps`` steps.
+    """
     languages = tuple(sorted(set(labels)))
     pieces, truth = [], []
     for text, label in zip(texts, labels, strict=True):
@@ -102,7 +106,9 @@ def train(
     target = np.array(truth)
     weights = list(net[1:])
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    total = epochs * -(-len(target) // batch)
+    each = -(-len(target) // batch)
+    epochs = max(epochs, -(-least_steps // each))
+    total = epochs * each
     for _ in range(epochs):
         order = rng.permutation(len(target))
         for at in range(0, len(order), batch):
@@ -214,11 +220,10 @@ def with_language(docs: DataFrame, net: Net, text: str = "text", keep: tuple[str
         for batch in batches:
             letters = batch.column("_letters").to_numpy(zero_copy_only=False)
             best, score = np.zeros(len(letters), np.int64), np.zeros(len(letters))
-            for block in blocks(batch.column("_bytes")):
+            for block in blocks(batch.column("_bytes")) if net.languages else ():
                 shares = pooled(net, block.data, block.offsets)
                 rows = slice(block.first, block.first + len(shares))
-                if shares.shape[1]:
-                    best[rows], score[rows] = shares.argmax(axis=1), shares.max(axis=1)
+                best[rows], score[rows] = shares.argmax(axis=1), shares.max(axis=1)
             known = letters & bool(net.languages)
             found = [net.languages[i] if k else UNDETERMINED for i, k in zip(best.tolist(), known.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ballstats.llm.shared import save
 
-SHARDS, ROUNDS, BUCKET_ROWS = 16, 6, 20_000
+SHARDS, ROUNDS, BUCKET_ROWS = 16, 24, 20_000
 
 
 def _quotas(spark: SparkSession, wishes: list, held: dict[int, int], room: int) -> tuple[DataFrame, int]:
@@ -31,21 +31,25 @@ def _quotas(spark: SparkSession, wishes: list, held: dict[int, int], room: int)
 def propagate(linked: DataFrame, room: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Move rows (rid, group, shard) towards the shard that holds most of their group.
 
-    Each round counts every group's rows by shard, takes the fullest (of equals the lowest) as
-    the target of the others, and admits moves by gain as far as the target's ``room`` goes.  The
-    unit of a round is the (group, shard) count, so a group of any size is a few rows, and which
-    of its rows move is decided by each row's own hash.  It ends when nothing may move.
+    Each round counts every group's rows by shard.  Among the shards that have room, the fullest of a
+    group (of equals the lowest) is the target of those with fewer of its rows, and moves are admitted
+    by gain as far as the target's ``room`` goes; a group that fills a shard goes on gathering in the
+    next.  The unit of a round is the (group, shard) count, so a group of any size is a few rows, and
+    which of its rows move is decided by each row's own hash.  It ends when nothing may move.
     """
     spark = linked.sparkSession
     for turn in range(rounds):
         counts = save(linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")))
-        held = dict.fromkeys(range(shards), 0) | {r.shard: r.n for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        best = counts.groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best"))
+        by_shard = counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()
+        held = dict.fromkeys(range(shards), 0) | {r.shard: r.n for r in by_shard}
+        roomy = [s for s, n in held.items() if n < room]
+        place = F.struct("n", (-F.col("shard")).alias("s"))
+        best = counts.filter(F.col("shard").isin(roomy)).groupBy("group").agg(F.max(place).alias("best"))
         gain = F.log2(F.col("best.n") - F.col("n") + 2).cast("int")
         wishes = save(
             counts.join(best, "group")
+            .filter(F.col("best") > place)
             .select("group", "shard", (-F.col("best.s")).cast("int").alias("target"), gain.alias("gain"), "n")
-            .filter("shard != target")
         )
         asked = wishes.groupBy("shard", "target", "gain").agg(F.sum("n").alias("n")).collect()
         shares, moves = _quotas(spark, asked, held, room)
@@ -54,7 +58,8 @@ def propagate(linked: DataFrame, room: int, shards: int = SHARDS, rounds: int =
         granted = wishes.join(shares, ["shard", "target", "gain"]).select("group", "shard", "target", "share")
         draw = F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
         moved = F.when(draw < F.col("share"), F.col("target")).otherwise(F.col("shard"))
-        linked = save(linked.join(granted, ["group", "shard"], "left").select("rid", "group", moved.alias("new")).withColumnRenamed("new", "shard"))
+        after = linked.join(granted, ["group", "shard"], "left").select("rid", "group", moved.alias("to"))
+        linked = save(after.withColumnRenamed("to", "shard"))
     return linked
 
 
@@ -80,7 +85,8 @@ def _ranks(rows: DataFrame, bucket_rows: int) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("single", "b", "g", "p").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy(*place).orderBy("group", "rid"))
-    return keyed.withColumn("within", within).join(starts, place).withColumn("rank", F.col("start") + F.col("within") - 1).drop("b", "g", "p", "start", "within")
+    numbered = keyed.withColumn("within", within).join(starts, place)
+    return numbered.withColumn("rank", F.col("start") + F.col("within") - 1).drop("b", "g", "p", "start", "within")
 
 
 def balanced_shards(
@@ -112,7 +118,7 @@ def balanced_shards(
     sizes = save(rows.groupBy("group").agg(F.count(F.lit(1)).alias("group_rows")))
     total = rows.count()
     joined = save(rows.select("rid", "group", "start").join(sizes.filter("group_rows > 1"), "group"))
-    linked = propagate(joined.select("rid", "group", F.col("start").alias("shard")), -(-total // shards), shards, rounds)
+    linked = propagate(joined.select("rid", "group", F.col("start").alias("shard")), total // shards, shards, rounds)
     labels = linked.select("rid", "shard").join(joined.select("rid", "group_rows"), "rid")
     placed = save(
         rows.join(labels, "rid", "left").select(
