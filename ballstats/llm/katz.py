@@ -29,7 +29,7 @@ from ballstats.llm.tokens import LOWER, SPACES, blocks, word_hashes, words
 CUTOFF = 5
 TAIL = 0.01  # counts above the cutoff lose this much, so that any context has something left
 CHUNK_TOKENS = 4_000_000
-SLICES, PARTS = 3, 24
+SLICES, PARTS = 3, 12
 HOT_SAMPLE, HOT_SHARE = 2000, 1 / 64
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 _BLOBS = "kind string, chunk bigint, a binary, b binary, c binary, d binary"
@@ -164,6 +164,7 @@ def _scan(batches, part_of: int, slices: int, hot: np.ndarray, parts: int, limit
                 kept, keys, train, seen, number = [], [], [], 0, number + 1
     if keys:
         yield _emit(number, *(np.concatenate(x) for x in zip(*kept, strict=True)), keys, train, hot, parts)
+    pa.default_memory_pool().release_unused()
 
 
 class _Chunk(NamedTuple):
@@ -199,6 +200,7 @@ def _count(table: pa.Table, hot: np.ndarray) -> pa.Table:
             chunks.append(_unpack(row))
     if chunks:
         out += _count_chunks(chunks, hot)
+    pa.default_memory_pool().release_unused()
     columns = list(zip(*out, strict=True)) if out else [()] * 6
     kinds = [pa.string(), pa.int64(), *[pa.large_binary()] * 4]
     arrays = [pa.array(c, k).cast(pa.binary()) if k == pa.large_binary() else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -400,7 +402,7 @@ def score(
         row_key(F.col(doc_id), F.col(text)).alias("key"), bytes_of(F.col(text)).alias("text"), (~held_out(F.col(doc_id))).alias("train")
     )
     spark = docs.sparkSession
-    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     hot = _frequent(rows, share=hot_share)
     trained = docs.filter(~held_out(F.col(doc_id))).count()
 
@@ -411,7 +413,7 @@ def score(
         def count(table: pa.Table) -> pa.Table:
             return _count(table, hot)
 
-        return save(rows.mapInArrow(scan, _SENT).groupBy("part").applyInArrow(count, _BLOBS))
+        return save(rows.mapInArrow(scan, _SENT).groupBy("part").applyInArrow(count, _BLOBS), by="kind")
 
     found = [counted(i) for i in range(slices)]
     contexts = save(_contexts_of(found))

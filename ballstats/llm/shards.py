@@ -14,7 +14,7 @@ SHARDS, ROUNDS, BUCKET_ROWS = 16, 24, 20_000
 def _quotas(spark: SparkSession, wishes: list, held: dict[int, int], room: int) -> tuple[DataFrame, int]:
     """What share of each wish (from, to, gain class) may move: the highest gains first, up to the room.
 
-    At most shards * shards * 64 wishes, whatever the number of rows.
+    At most shards * shards * 128 wishes, whatever the number of rows.
     """
     free = {s: max(0, room - n) for s, n in held.items()}
     granted = []
@@ -32,7 +32,7 @@ def propagate(linked: DataFrame, room: int, shards: int = SHARDS, rounds: int =
     """Move rows (rid, group, shard) towards the shard that holds most of their group.
 
     Each round counts every group's rows by shard.  Among the shards that have room, the fullest of a
-    group (of equals the lowest) is the target of those with fewer of its rows, and moves are admitted
+    group (of equals one that its hash chooses) is the target of those with fewer of its rows, and moves are admitted
     by gain as far as the target's ``room`` goes; a group that fills a shard goes on gathering in the
     next.  The unit of a round is the (group, shard) count, so a group of any size is a few rows, and
     which of its rows move is decided by each row's own hash.  It ends when nothing may move.
@@ -43,13 +43,16 @@ def propagate(linked: DataFrame, room: int, shards: int = SHARDS, rounds: int =
         by_shard = counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()
         held = dict.fromkeys(range(shards), 0) | {r.shard: r.n for r in by_shard}
         roomy = [s for s, n in held.items() if n < room]
-        place = F.struct("n", (-F.col("shard")).alias("s"))
-        best = counts.filter(F.col("shard").isin(roomy)).groupBy("group").agg(F.max(place).alias("best"))
-        gain = F.log2(F.col("best.n") - F.col("n") + 2).cast("int")
+        tie = F.xxhash64("group", "shard").alias("tie")  # else equals would all choose the same shards
+        place = F.struct("n", tie, F.col("shard").alias("s"))
+        in_room = F.col("shard").isin(roomy)
+        best = counts.groupBy("group").agg(F.max(F.when(in_room, place)).alias("best"), F.sum("n").alias("group_rows"))
+        whole = F.when(F.col("group_rows") <= room, 64).otherwise(0)  # groups that fit into a shard go first
+        gain = F.log2(F.col("best.n") - F.col("n") + 2).cast("int") + whole
         wishes = save(
             counts.join(best, "group")
             .filter(F.col("best") > place)
-            .select("group", "shard", (-F.col("best.s")).cast("int").alias("target"), gain.alias("gain"), "n")
+            .select("group", "shard", F.col("best.s").alias("target"), gain.alias("gain"), "n")
         )
         asked = wishes.groupBy("shard", "target", "gain").agg(F.sum("n").alias("n")).collect()
         shares, moves = _quotas(spark, asked, held, room)

@@ -15,18 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save(df: DataFrame) -> DataFrame:
+def save(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back, so that a lost executor costs no earlier stage.
 
     What was shuffled for it is of no further use and goes at once; the file system removes the
-    folder when the session ends.
+    folder when the session ends.  ``by`` names a column whose values get a folder each.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
