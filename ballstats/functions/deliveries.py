@@ -50,15 +50,52 @@ def over_number(ball: Column) -> Column:
     return (F.floor(ball) + 1).cast("int")
 
 
-# Dates written as two short numbers and a year; the second form is tried last.
-MONTH_FIRST = r"^(0?[1-9]|1[0-2])[/.-](\d{1,2})[/.-](\d{4})$"
-DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
-
-
-def match_date(text: Column) -> Column:
-    """Date from mixed texts: ISO, else month first, else day first when the month would exceed 12."""
-    iso = F.regexp_replace(F.regexp_replace(text, MONTH_FIRST, "$3-$1-$2"), DAY_FIRST, "$3-$2-$1")
-    return iso.try_cast("date")
+# Month names, and the ways a date is written besides ISO; a time may follow each.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTH_NAME = (
+    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+    r"|nov(?:ember)?|dec(?:ember)?)"
+)
+TIME = r"(?:[T ]\s*\d{1,2}:\d{2}.*)?$"
+YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + TIME
+PACKED = r"^(\d{4})(\d{2})(\d{2})" + TIME
+MONTH_FIRST = r"^(0?[1-9]|1[0-2])[/.-](\d{1,2})[/.-](\d{4}|\d{2})" + TIME
+DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})" + TIME
+DAY_NAMED = rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[ .-]+{MONTH_NAME}[ .,-]+(\d{{4}}|\d{{2}})" + TIME
+NAME_FIRST = rf"(?i)^{MONTH_NAME}[ .-]+(\d{{1,2}})(?:st|nd|rd|th)?[ ,.-]+(\d{{4}}|\d{{2}})" + TIME
+CENTURY = 69  # two-digit years from here on are of the 1900s
+
+
+def _by(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    """Date from the numbered groups of a pattern; NULL where it does not match."""
+    y, m, d = (F.regexp_extract(text, pattern, i) for i in (year, month, day))
+    full = F.when(F.length(y) == 2, F.concat(F.when(y.cast("int") < CENTURY, "20").otherwise("19"), y)).otherwise(y)
+    named = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.lower(F.substring(m, 1, 3)))
+    number = F.when(m.rlike("^[0-9]+$"), m).otherwise(named.cast("string"))
+    return F.when(text.rlike(pattern), F.concat_ws("-", full, number, d).try_cast("date"))
+
+
+def match_date(text: Column, unreadable: str = "error") -> Column:
+    """Date from mixed texts: ISO, year first, eight digits, month first, day first, or a named month.
+
+    Two short numbers and a year are month first, else day first when the month would exceed 12.
+    A text that is no date is an error; ``unreadable="null"`` makes it NULL.
+    """
+    if unreadable not in ("error", "null"):
+        raise ValueError(f"unreadable must be 'error' or 'null', not {unreadable!r}")
+    text = F.trim(text)
+    date = F.coalesce(
+        text.try_cast("date"),
+        _by(text, MONTH_FIRST, 3, 1, 2),
+        _by(text, DAY_FIRST, 3, 2, 1),
+        _by(text, YEAR_FIRST, 1, 2, 3),
+        _by(text, PACKED, 1, 2, 3),
+        _by(text, DAY_NAMED, 3, 2, 1),
+        _by(text, NAME_FIRST, 3, 1, 2),
+    )
+    if unreadable == "null":
+        return date
+    return F.coalesce(date, F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("unreadable date: "), text)).cast("date")))
 
 
 def phase_of(over: Column) -> Column:

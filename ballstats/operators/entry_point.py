@@ -44,13 +44,13 @@ def entry_points(
 
 
 def _once_per_match(rows: DataFrame, key: Sequence[str]) -> Column:
-    """1 on one appearance of each (*key, match), the earliest innings, and 0 on its others.
+    """1 on one appearance of each (*key, match), the earliest innings, and 0 on its others and without a match.
 
     Summing it counts matches without a distinct aggregation, whose groups per match would
     each carry a median's buffer.  The window sees the few innings of a player in a match.
     """
     match = Window.partitionBy(*key, "match_id").orderBy("innings", "team")
-    return F.when(F.row_number().over(match) == 1, 1).otherwise(0)
+    return F.when(F.col("match_id").isNotNull() & (F.row_number().over(match) == 1), 1).otherwise(0)
 
 
 def season_roster(

@@ -12,6 +12,7 @@ from ballstats.functions import deliveries as rules
 # Index columns that a written-out table may carry.
 INDEX_COLUMNS = ["Unnamed: 0", "_c0", ""]
 
+# The typed layout's columns and their names here.
 TYPED_NAMES = {
     "MatchNum": "match_id",
     "MatchInn": "innings",

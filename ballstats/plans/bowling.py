@@ -33,8 +33,6 @@ class BowlingThresholds:
         return within(table, "b", self.min_balls, self.max_balls)
 
 
-# The largest choices the interactive table offered.
-SLIDER_LIMITS = BowlingThresholds(0, 300, 1, 5000)
 
 
 def bowling_contributions(deliveries: DataFrame, compat: bool = False) -> DataFrame:

@@ -65,10 +65,38 @@ def progression_by_ball(rows: DataFrame) -> DataFrame:
     )
 
 
-def pivot_by_ball(by_ball: DataFrame, value: str, players: Sequence[str]) -> DataFrame:
-    """One row per (year, balls), one column per given player, rounded to two decimals."""
-    known = by_ball.filter(F.col(value).isNotNull() & F.col("player").isin(list(players)))
-    return known.groupBy("year", "balls").pivot("player", list(players)).agg(round2(F.avg(value)))
+def pivot_by_ball(by_ball: DataFrame, value: str, players: Sequence[str] | None = None) -> DataFrame:
+    """One row per (year, balls), one column per player, rounded to two decimals.
+
+    Without ``players`` every player gets a column, as far as Spark's limit on pivot values goes
+    (``spark.sql.pivotMaxValues``; more are an error).
+    """
+    known = by_ball.filter(F.col(value).isNotNull())
+    if players is not None:
+        known = known.filter(F.col("player").isin(list(players)))
+    grouped = known.groupBy("year", "balls")
+    pivoted = grouped.pivot("player") if players is None else grouped.pivot("player", list(players))
+    return pivoted.agg(round2(F.avg(value)))
+
+
+def wide_lines(by_ball: DataFrame, value: str) -> DataFrame:
+    """The same table as lines of CSV text for each season: (year, place, line), the header at place -1.
+
+    The columns are the season's own players in name order, so a season of any number of players
+    has one layout, and no name leaves Spark.
+    """
+    quoted = F.when(F.col("player").rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace("player", F.lit('"'), F.lit('""')), F.lit('"')))
+    known = by_ball.filter(F.col(value).isNotNull()).groupBy("year", "balls", "player").agg(round2(F.avg(value)).alias("v"))
+    names = known.groupBy("year").agg(F.array_sort(F.collect_set("player")).alias("names"))
+    titles = known.select("year", "player", F.coalesce(quoted, "player").alias("title")).distinct()
+    header = titles.groupBy("year").agg(
+        F.concat_ws(",", F.lit("balls"), F.expr("transform(array_sort(collect_list(struct(player, title))), x -> x.title)")).alias("line")
+    )
+    cells = known.groupBy("year", "balls").agg(F.map_from_entries(F.collect_list(F.struct("player", "v"))).alias("cells"))
+    written = F.transform("names", lambda n: F.coalesce(F.try_element_at(F.col("cells"), n).cast("string"), F.lit("")))
+    line = F.concat_ws(",", F.col("balls").cast("string"), F.array_join(written, ","))
+    body = cells.join(names, "year").select("year", F.col("balls").alias("place"), line.alias("line"))
+    return header.select("year", F.lit(-1).cast("bigint").alias("place"), "line").union(body)
 
 
 def career_innings_no(

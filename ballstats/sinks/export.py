@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballstats.functions.numeric import round2
-from ballstats.plans.progression import pivot_by_ball
-from ballstats.sources.tables import scratch_path
-
-PIVOT_WIDTH = 1000
+from ballstats.plans.progression import wide_lines
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -48,33 +45,18 @@ def export_by_ball(by_ball: DataFrame, path: str, fmt: str = "csv") -> None:
 def export_pivots(
     by_ball: DataFrame,
     path: str,
-    value: str,
+    values: Sequence[str] = ("ave_runs", "sr"),
     years: Sequence[int] | None = None,
-    width: int = PIVOT_WIDTH,
-) -> list[str]:
-    """One wide CSV per season: a row per balls, a column per player of that season.
-
-    Seasons of more than ``width`` players continue in further files (``part=1``, ...) with the
-    same rows, so no player is left out.  The averages are written once as a table by year in
-    the shared folder; each file then reads its own year of that, not the deliveries.  Only the
-    player names come to the driver, since they become column names.  Returns the folders.
+) -> None:
+    """One wide CSV per value and season, ``value=.../year=.../``: a row per balls, a column per player of that season.
+
+    Lines are built in Spark from one long table and written as text, a season's in order.
     """
-    spark = by_ball.sparkSession
-    known = by_ball.filter(F.col(value).isNotNull()).select("year", "player", "balls", value)
     if years is not None:
-        known = known.filter(F.col("year").isin(list(years)))
-    table = scratch_path(spark)
-    write_by_year(known, table, "parquet")
-    known = spark.read.schema(known.schema).parquet(table)
-    names: dict[int, list[str]] = {}
-    for year, player in known.select("year", "player").distinct().orderBy("year", "player").collect():
-        names.setdefault(year, []).append(player)
-    folders = []
-    for year, players in names.items():
-        season = known.filter(F.col("year") == year)
-        for part, start in enumerate(range(0, len(players), width)):
-            folder = f"{path}/year={year}/part={part}"
-            wide = pivot_by_ball(season, value, players[start : start + width]).drop("year")
-            wide.orderBy("balls").write.mode("overwrite").option("header", True).csv(folder)
-            folders.append(folder)
-    return folders
+        by_ball = by_ball.filter(F.col("year").isin(list(years)))
+    lines = None
+    for value in values:
+        part = wide_lines(by_ball, value).select(F.lit(value).alias("value"), "year", "place", "line")
+        lines = part if lines is None else lines.union(part)
+    ordered = lines.repartition("value", "year").sortWithinPartitions("value", "year", "place")
+    ordered.select("value", "year", "line").write.mode("overwrite").partitionBy("value", "year").text(path)

@@ -9,7 +9,7 @@ number; :func:`ballstats.sources.tables.ingest` turns it into one.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from urllib.parse import unquote
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,7 @@ LEAGUES = {
     "SMAT": "SMA.csv",
     "The 100": "The 100.csv",
 }
+# The files of the typed layout.
 TYPED_FILES = ["T20Data.csv", "T20Leagues.csv"]
 
 # Fixed value: files describing a match rather than its deliveries.
@@ -59,18 +60,75 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
 
 
-def read_layout(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
+def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The data files that some paths (files, folders, globs) name, in order; nothing is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(conf)
+        todo = sorted(fs.globStatus(place) or [], key=lambda s: s.getPath().toString())
+        if not todo:
+            raise FileNotFoundError(f"nothing at {path}")
+        while todo:
+            status = todo.pop(0)
+            if status.isFile():
+                found.append(status.getPath().toString())
+            else:
+                inner = sorted(fs.listStatus(status.getPath()), key=lambda s: s.getPath().toString())
+                todo[:0] = [s for s in inner if not s.getPath().getName().startswith(("_", "."))]
+    return found
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The header line of a file, compressed or not; no more than the stream's first buffer is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    try:
+        source = codec.createInputStream(stream) if codec is not None else stream
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return (line or "").lstrip("\ufeff")
+
+
+def read_layout(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    schema: T.StructType,
+    multiline: bool = False,
+    bad_rows: str = "error",
+) -> DataFrame:
     """Read files that share one header line; a file with another header is an error.
 
     Columns of ``schema`` that the files lack are NULL; other columns are carried as text,
-    except the index a written-out table starts with.
+    except the index a written-out table starts with.  A row with more or fewer fields than the
+    header is an error, or with ``bad_rows="null"`` is filled up with NULL or cut.  Line breaks
+    within quotes need ``multiline``, which reads each file in one task.
     """
+    if bad_rows not in ("error", "null"):
+        raise ValueError(f"bad_rows must be 'error' or 'null', not {bad_rows!r}")
     paths = [paths] if isinstance(paths, str) else list(paths)
-    header = _reader(spark).csv(paths).columns
-    # without column names of its own (a blank heading) a header cannot be checked against them
-    checked = not any(h in INDEX_COLUMNS for h in header)
+    lines: dict[str, str] = {}
+    for path in _files(spark, paths):
+        line = _first_line(spark, path)
+        if line:  # a file without a line holds no rows
+            lines.setdefault(line, path)
+    if len(lines) > 1:
+        (_, first), (_, other), *_ = lines.items()
+        raise ValueError(f"{other} has another header than {first}")
+    return _read(spark, paths, schema, multiline, bad_rows)
+
+
+def _read(spark: SparkSession, paths: list[str], schema: T.StructType, multiline: bool, bad_rows: str) -> DataFrame:
+    reader = _reader(spark).option("multiLine", multiline)
+    header = reader.csv(paths).columns
     texts = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    rows = _reader(spark).schema(texts).option("enforceSchema", not checked).csv(paths)
+    # a row's fields can only be counted if all of them are parsed
+    strict = {"mode": "FAILFAST", "columnPruning": False} if bad_rows == "error" else {"mode": "PERMISSIVE"}
+    rows = reader.options(**strict).schema(texts).csv(paths)
     known = [
         (_typed(f.name, f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
@@ -84,53 +142,35 @@ def read_layout(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
     return rows.select(*known, *extra, place.alias("seq"))
 
 
-def _layouts(spark: SparkSession, folder: str, pattern: str, skip: str) -> Mapping[str, list[str]]:
-    """Header line -> files having it.  One pass over the first block of text lines of each file."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
-    name, block = F.col("_metadata.file_name"), F.col("_metadata.file_block_start")
-    headers = (
-        lines.filter(~name.contains(skip) & (block == 0))
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            "value",
-            F.monotonically_increasing_id().alias("row"),
-        )
-        .groupBy("path")
-        .agg(F.min_by("value", "row").alias("header"))
-    )
-    layouts: dict[str, list[str]] = {}
-    for header, path in headers.orderBy("path").select("header", "path").collect():
-        layouts.setdefault(header, []).append(path)
-    return layouts
-
-
 def merge_csv(
     spark: SparkSession,
     folder: str,
     schema: T.StructType = DELIVERIES,
     pattern: str = "*.csv",
     skip: str = INFO_MARK,
+    multiline: bool = False,
+    bad_rows: str = "error",
 ) -> DataFrame:
     """All CSV files of a folder as one table, columns matched by name.
 
-    Files are grouped by header line, each group is one scan, and the groups are united with
-    NULL for columns a group lacks.  Only file names and header lines reach the driver.
+    Info files are left out by name.  The others are grouped by header line, of which one is read
+    of each file; each group is one scan, and the groups are united with NULL for columns a group
+    lacks.  Only file names and header lines reach the driver.
     """
-    layouts = _layouts(spark, folder, pattern, skip)
+    layouts: dict[str, list[str]] = {}
+    for path in _files(spark, [folder]):
+        name = path.rsplit("/", 1)[-1]
+        if fnmatch(name, pattern) and skip not in name and (line := _first_line(spark, path)):
+            layouts.setdefault(line, []).append(path)
     if not layouts:
         raise FileNotFoundError(f"no {pattern} without {skip!r} in {folder}")
-    parts = [read_layout(spark, [_readable(p) for p in paths], schema) for paths in layouts.values()]
+    parts = [_read(spark, paths, schema, multiline, bad_rows) for paths in layouts.values()]
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)
     return merged
 
 
-def _readable(uri: str) -> str:
-    """A file URI as reported by a scan, with the escapes of its path undone."""
-    return unquote(uri)
-
-
 def union_sources(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Stack tables whose columns may differ; a column one lacks is NULL there."""
     for other in others:

@@ -620,6 +620,7 @@ WHERE player NOT IN (SELECT player{tail})"""
         "typed_prepared": statement(TYPED, final="""SELECT seq, match_id, striker, over, b, runs_off_bat + extras AS rc, notes, types,
 bowl_cat, competition, CAST(wicket AS INTEGER) AS wicket FROM d"""),
         "dedupe_first_seq": statement(RAW, final="SELECT * FROM raw"),
+        "date_forms": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders",
         "date_parse_mixed": f"""SELECT o_orderkey, {DATE_TEXT} AS text, CAST({DATE_READ} AS VARCHAR) AS date,
 CAST(year({DATE_READ}) AS INTEGER) AS year FROM orders""",
         "batting_cells": statement(D, chosen(), MAIN, bat_contrib(), bat_loo(), final="""SELECT year, venue, over, player, runs_scored,

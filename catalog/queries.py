@@ -99,6 +99,19 @@ def date_parse_mixed(spark, sf):
     )
 
 
+DATE_FORMS = ["yyyy/MM/dd", "yyyyMMdd", "MM/dd/yyyy HH:mm", "d MMM yyyy", "MMMM d, yyyy", "dd-MMM-yyyy", "yyyy-MM-dd HH:mm:ss"]
+
+
+def date_forms(spark, sf):
+    """Order dates written in further forms, each of which has one reading."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    day = F.col("o_orderdate").cast("timestamp")
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(DATE_FORMS):
+        text = F.when(F.col("o_orderkey") % len(DATE_FORMS) == i, F.date_format(day, form)).otherwise(text)
+    return o.select("o_orderkey", match_date(text).cast("string").alias("date"))
+
+
 # --- batting ---------------------------------------------------------------------------------
 def batting_cells_q(spark, sf):
     cells = batting_cells(_main(spark, sf))
@@ -264,29 +277,41 @@ def csv_roundtrip(spark, sf):
     return _plain(loaded.select(*[c for c in PREPARED if c != "seq"]))
 
 
+def _rename_parts(spark, folder, to, ending):
+    """Move the files of a written table into one folder under names of their own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(to))
+    for i, status in enumerate(fs.listStatus(path(folder))):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), path(f"{to}/{i}{ending}"))
+
+
 def multi_file_merge(spark, sf):
-    """Files of different columns, one with an index column, and an info file to be skipped."""
+    """Files of different columns, one with an index column, and info files to be skipped by their name."""
     path = scratch_path(spark)
     raw = deliveries_from_events(spark, sf)
     half = F.col("match_id") % 2 == 0
     plain = raw.filter(half).drop("seq", "noballs")
     indexed = raw.filter(~half).withColumnRenamed("seq", "_c0")
     turned = indexed.select("_c0", *reversed([c for c in indexed.columns if c != "_c0"]))
-    _write_csv(plain, f"{path}/plain")
-    _write_csv(turned, f"{path}/indexed")
-    _write_csv(raw.select("match_id", "venue"), f"{path}/match_info")
-    merged = merge_csv(spark, f"{path}/{{plain,indexed}}", DELIVERIES)
-    return merged.select(*DELIVERIES.fieldNames())
+    for name, df in (("plain", plain), ("indexed", turned), ("match_info", raw.select("match_id", "venue"))):
+        _write_csv(df, f"{path}/{name}")
+        _rename_parts(spark, f"{path}/{name}", f"{path}/all", f"_{name}.csv")
+    return merge_csv(spark, f"{path}/all", DELIVERIES).select(*DELIVERIES.fieldNames())
 
 
 def league_registry(spark, sf):
-    """Each league written to its own registered file and loaded by name."""
+    """Each league in its own registered file, all written at once, and loaded by name."""
     path = scratch_path(spark)
     raw = deliveries_from_events(spark, sf)
-    tables = []
-    for i, league in enumerate(LEAGUES):
-        _write_csv(raw.filter(F.col("match_id") % len(LEAGUES) == i).drop("seq"), f"{path}/{LEAGUES[league]}")
-        tables.append(load_league(spark, path, league).withColumn("league", F.lit(league)))
+    names = F.array(*[F.lit(f) for f in LEAGUES.values()])
+    file = F.element_at(names, (F.col("match_id") % len(LEAGUES) + 1).cast("int"))
+    written = raw.drop("seq").withColumn("file", file)
+    written.write.partitionBy("file").option("header", True).option("escape", '"').csv(path)
+    there = {r.file for r in written.select("file").distinct().collect()}  # the smallest tables lack some leagues
+    files = {league: f"file={name}" for league, name in LEAGUES.items() if name in there}
+    tables = [load_league(spark, path, league, files).withColumn("league", F.lit(league)) for league in files]
     out = tables[0]
     for table in tables[1:]:
         out = out.unionByName(table)
@@ -354,11 +379,12 @@ def export_pivot_files(spark, sf):
     """Both pivots per season written wide; read back as (value, year, balls, player, number)."""
     path = scratch_path(spark)
     by_ball = _by_ball(spark, sf)
+    export_pivots(by_ball, path)
     out = None
+    years = [r.year for r in by_ball.select("year").distinct().orderBy("year").collect()]
     for value in ("ave_runs", "sr"):
-        for folder in export_pivots(by_ball, f"{path}/{value}", value, width=16):
-            year = int(folder.split("year=")[1].split("/")[0])
-            wide = spark.read.option("header", True).csv(folder)
+        for year in years:
+            wide = spark.read.option("header", True).option("escape", '"').csv(f"{path}/value={value}/year={year}")
             long = wide.unpivot("balls", [c for c in wide.columns if c != "balls"], "player", "number")
             long = long.filter(F.col("number").isNotNull()).select(
                 F.lit(value).alias("value"),
@@ -376,6 +402,7 @@ QUERIES = {
     "typed_prepared": typed_prepared,
     "dedupe_first_seq": dedupe_first_seq,
     "date_parse_mixed": date_parse_mixed,
+    "date_forms": date_forms,
     "batting_cells": batting_cells_q,
     "batting_loo": batting_loo,
     "batting_season": lambda s, sf: bs.batting_season(deliveries(s, sf)),

@@ -141,13 +141,60 @@ def test_exports(spark, raw, tmp_path):
     by_ball = bs.progression_by_ball(bs.batter_progression(d))
     write_by_year(by_ball, str(tmp_path / "balls"))
     assert sorted(p.name for p in (tmp_path / "balls").glob("year=*")) == ["year=2022", "year=2023"]
-    folders = export_pivots(by_ball, str(tmp_path / "pivot"), "ave_runs", width=2)
-    assert [f.split("pivot/")[1] for f in folders] == [
-        "year=2022/part=0", "year=2022/part=1", "year=2023/part=0", "year=2023/part=1",
-    ]
-    first = spark.read.option("header", True).csv(folders[0])
-    assert first.columns == ["balls", "A", "B"]
-    assert sorted(tuple(r) for r in first.collect()) == [("1", "1.0", "1.0"), ("2", "3.0", "3.0")]
+    export_pivots(by_ball, str(tmp_path / "pivot"))
+    for year in (2022, 2023):
+        first = spark.read.option("header", True).csv(str(tmp_path / f"pivot/value=ave_runs/year={year}"))
+        assert first.columns == ["balls", "A", "B", "C"]
+        assert [tuple(r) for r in first.collect()] == [("1", "1.0", "1.0", "1.0"), ("2", "3.0", "3.0", "3.0")]
+    assert bs.pivot_by_ball(by_ball, "sr").columns == ["year", "balls", "A", "B", "C"]
+
+
+def test_pivot_files_keep_gaps_and_odd_names(spark, tmp_path):
+    rows = [(2022, 'Q, "Z"', 1, 1.0, 5.0), (2022, "A", 2, 2.0, 6.0), (2022, "A", 10, None, 7.0)]
+    by_ball = spark.createDataFrame(rows, "year int, player string, balls bigint, ave_runs double, sr double")
+    export_pivots(by_ball, str(tmp_path / "p"))
+    lines = [p.read_text().splitlines() for v in ("ave_runs", "sr") for p in (tmp_path / f"p/value={v}/year=2022").glob("part-*")]
+    assert lines[0] == ['balls,A,"Q, ""Z"""', "1,,1.0", "2,2.0,"]
+    assert lines[1] == ['balls,A,"Q, ""Z"""', "1,,5.0", "2,6.0,", "10,7.0,"]
+
+
+def test_blank_headings_are_compared_too(spark, tmp_path):
+    one, other = ["", *HEADER], ["", *HEADER]
+    i, j = other.index("striker"), other.index("non_striker")
+    other[i], other[j] = other[j], other[i]
+    write(tmp_path / "a.csv", [ball()], one)
+    write(tmp_path / "b.csv", [ball()], other)
+    with pytest.raises(ValueError, match="header"):
+        read_layout(spark, str(tmp_path), DELIVERIES)
+    assert {r["striker"] for r in rows_of(merge_csv(spark, str(tmp_path)))} == {"A"}
+
+
+def test_rows_of_another_length_are_errors(spark, tmp_path):
+    write(tmp_path / "a.csv", [ball(), ball(striker="B")])
+    text = (tmp_path / "a.csv").read_text()
+    (tmp_path / "a.csv").write_text(text + "1,2\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_layout(spark, str(tmp_path / "a.csv"), DELIVERIES).select("striker").collect()
+    assert read_layout(spark, str(tmp_path / "a.csv"), DELIVERIES, bad_rows="null").count() == 3
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    write(tmp_path / "a.csv", [ball(venue="Old\nGround"), ball(striker="B")])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_layout(spark, str(tmp_path / "a.csv"), DELIVERIES).collect()
+    got = by(read_layout(spark, str(tmp_path / "a.csv"), DELIVERIES, multiline=True), "striker")
+    assert got["A"]["venue"] == "Old\nGround" and set(got) == {"A", "B"}
+
+
+def test_a_date_in_another_form_loses_no_ball(spark, tmp_path):
+    rows = [ball(ball=b / 10, match_id=m, start_date=d) for m, d in ((1, "2023-04-01"), (2, "2023/04/01")) for b in range(1, 7)]
+    write(tmp_path / "a.csv", rows)
+    assert by(bs.batting_season(load_deliveries(spark, str(tmp_path / "a.csv"))), "player")["A"]["bf"] == 12
+
+
+def test_a_ball_without_a_match_is_no_innings(spark, raw):
+    d = bs.prepare_deliveries(raw([{"match_id": 1}, {"match_id": None}, {"match_id": None, "innings": 2}]))
+    assert by(bs.batting_season(d, thresholds=None), "player")["A"]["innings_count"] == 1
 
 
 def test_scratch_follows_the_session(spark):

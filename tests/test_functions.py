@@ -110,8 +110,13 @@ def test_median_back_to_overs(spark):
         ("13/02/2021", dt.date(2021, 2, 13)),
         ("2/13/2021", dt.date(2021, 2, 13)),
         ("12-11-2020", dt.date(2020, 12, 11)),
-        ("31/31/2020", None),
-        ("soon", None),
+        ("2023/04/01", dt.date(2023, 4, 1)),
+        ("20230401", dt.date(2023, 4, 1)),
+        ("04/01/2023 00:00", dt.date(2023, 4, 1)),
+        ("1 Apr 2023", dt.date(2023, 4, 1)),
+        ("April 1, 2023", dt.date(2023, 4, 1)),
+        ("01-Apr-2023", dt.date(2023, 4, 1)),
+        ("13/02/21", dt.date(2021, 2, 13)),
         (None, None),
     ],
 )
@@ -119,6 +124,13 @@ def test_match_dates(spark, text, want):
     assert one(spark, rules.match_date(F.lit(text).cast("string"))) == (want,)
 
 
+@pytest.mark.parametrize("text", ["soon", "31/31/2020", "20231301", "1 Foo 2023", ""])
+def test_unreadable_dates(spark, text):
+    with pytest.raises(Exception, match="unreadable date"):
+        one(spark, rules.match_date(F.lit(text)))
+    assert one(spark, rules.match_date(F.lit(text), "null")) == (None,)
+
+
 def test_balls_and_runs(spark):
     got = one(
         spark,
