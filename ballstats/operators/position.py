@@ -16,12 +16,16 @@ def batting_positions(deliveries: DataFrame, order: str = "seq", chunk_rows: int
     """
     side = ["match_id", "batting_team"]
     valid = deliveries.dropna(subset=[*side, "striker"])
-    # the non-striker is a key, not a carried value: only the position is aggregated, in a hash map
-    pairs = valid.groupBy(*side, "striker", "non_striker").agg(F.min(order).alias("_first"))
+    valid = valid.withColumn("_chunk", chunk_of(deliveries, order, chunk_rows))
+    # openers, first balls and chunks all come from this one shuffle; the non-striker is a key, not a
+    # carried value: only the position is aggregated, in a hash map
+    pairs = valid.groupBy(*side, "striker", "non_striker", "_chunk").agg(F.min(order).alias("_first"))
     openers = pairs.groupBy(*side).agg(
         F.min_by("striker", "_first").alias("_opener"), F.min_by("non_striker", "_first").alias("_second")
     )
-    strikers = pairs.groupBy(*side, "striker").agg(F.min("_first").alias("_first"))
+    strikers = pairs.groupBy(*side, "striker").agg(
+        F.min("_first").alias("_first"), F.collect_set("_chunk").alias("_chunks")
+    )
     alone = F.col("_opener").eqNullSafe(F.col("_second"))
     opening = (
         F.when(F.col("striker").eqNullSafe(F.col("_second")), 2)
@@ -33,9 +37,9 @@ def batting_positions(deliveries: DataFrame, order: str = "seq", chunk_rows: int
         placed.withColumn("_alone", alone), side, "_first", {"_rank": later}, chunk_rows
     )
     position = F.coalesce("_opening", F.col("_rank") + F.when(F.col("_alone"), 1).otherwise(2))
-    placed = placed.select(*side, "striker", position.cast("int").alias("batting_position"))
-    spells = valid.select(*side, "striker", chunk_of(deliveries, order, chunk_rows).alias("_chunk")).distinct()
-    return spells.join(placed, [*side, "striker"])
+    return placed.select(
+        *side, "striker", position.cast("int").alias("batting_position"), F.explode("_chunks").alias("_chunk")
+    )
 
 
 def with_batting_position(
