@@ -77,6 +77,23 @@ def deliveries_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balls.selectExpr(*columns)
 
 
+def varied_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deliveries with what real files also hold.
+
+    Every bowler has two teams in a year, some overs have a tenth ball (written 3.10 and read
+    as 3.1), and some strikers, venues and balls are missing.
+    """
+    changed = {
+        "bowling_team": "if(match_id % 8 < 4, bowling_team, concat('X', bowling_team))",
+        "ball": "if(seq % 103 = 0, NULL, if(match_id % 5 < 2 AND CAST(round(ball * 10) AS BIGINT) % 10 = 6,"
+        " (floor(ball) * 10 + 1) / 10D, ball))",
+        "striker": "if(seq % 97 = 0, NULL, striker)",
+        "venue": "if(seq % 101 = 0, NULL, venue)",
+    }
+    raw = deliveries_from_events(spark, sf_dir)
+    return raw.selectExpr(*[f"{changed[c]} AS {c}" if c in changed else c for c in raw.columns])
+
+
 def typed_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows in the typed layout."""
     return (

@@ -137,6 +137,17 @@ raw AS (
               WHEN is_run_out THEN 'run out' END AS wicket_type
   FROM e2)"""
 
+VARIED = RAW.replace("raw AS (", "plain AS (") + """,
+raw AS (
+  SELECT * REPLACE (
+    CASE WHEN match_id % 8 < 4 THEN bowling_team ELSE 'X' || bowling_team END AS bowling_team,
+    CASE WHEN seq % 103 = 0 THEN NULL
+         WHEN match_id % 5 < 2 AND CAST(round(ball * 10) AS BIGINT) % 10 = 6
+           THEN CAST(CAST(floor(ball) AS INTEGER) || '.1' AS DOUBLE) ELSE ball END AS ball,
+    CASE WHEN seq % 97 <> 0 THEN striker END AS striker,
+    CASE WHEN seq % 101 <> 0 THEN venue END AS venue)
+  FROM plain)"""
+
 D = RAW + """,
 d AS (
   SELECT * EXCLUDE (wides, noballs), CASE WHEN wides > 0 THEN 0 ELSE 1 END AS b,
@@ -600,6 +611,15 @@ DATE_READ = """CASE WHEN o_orderkey % 3 = 2 AND day(o_orderdate) <= 12
  THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END"""
 
 
+def on_varied(sql):
+    return sql.replace(RAW.strip(), VARIED.strip())
+
+
+def ranked(ctes, column, having):
+    return statement(*ctes, final=f"""SELECT row_number() OVER (ORDER BY {column} DESC NULLS LAST, player, year, team) AS rank,
+player, year, team, {column} FROM rows WHERE {having}""")
+
+
 def statements() -> dict[str, str]:
     striker, bowler = running_ctes("striker"), running_ctes("bowler")
     bat_prog = statement(*striker, progression("striker"), final="SELECT * FROM progress")
@@ -645,6 +665,16 @@ expected_runs, expected_outs FROM loo"""),
         "bowling_season_compat": bowl_season(compat=True),
         "bowling_overall": bowl_overall(),
         "bowling_overall_compat": bowl_overall(compat=True),
+        "bowling_season_varied": on_varied(bowl_season()),
+        "bowling_season_varied_compat": on_varied(bowl_season(compat=True)),
+        "bowling_overall_varied": on_varied(bowl_overall()),
+        "bowling_overall_varied_compat": on_varied(bowl_overall(compat=True)),
+        "batting_season_varied": on_varied(bat_season()),
+        "batting_ranked": ranked(bat_season_ctes(), "runs_scored", BAT_HAVING),
+        "bowling_ranked": ranked(bowl_ctes(), "wicket", BOWL_HAVING),
+        "bowling_thresholds": bowl_season(having="wicket BETWEEN 3 AND 9 AND b BETWEEN 100 AND 240"),
+        "matchup_category": match_season("bowl_cat", "over BETWEEN 1 AND 20 AND bowl_cat = 'Spin'"),
+        "entry_point_bowling_career": entry_statement("bowler", [], EVERY),
         "entry_point_season": entry_statement("striker", ["year", "batting_team"], MAIN),
         "entry_point_overall": entry_statement("striker", [], EVERY),
         "entry_point_bowling": entry_statement("bowler", ["year", "bowling_team"], EVERY),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import ballstats as bs
@@ -21,6 +21,7 @@ from ballstats.sources.starschema import (
     deliveries_from_events,
     supplier_contributions,
     typed_from_events,
+    varied_from_events,
 )
 from ballstats.sources.tables import ingest, read_table, scratch_path
 
@@ -36,6 +37,10 @@ def typed(spark: SparkSession, sf: str) -> DataFrame:
     return bs.prepare_typed(typed_from_events(spark, sf))
 
 
+def varied(spark: SparkSession, sf: str) -> DataFrame:
+    return bs.prepare_deliveries(varied_from_events(spark, sf))
+
+
 def _main(spark, sf):
     return main_innings(bs.Filters().apply(deliveries(spark, sf)), 2)
 
@@ -198,6 +203,36 @@ def distinct_values(spark, sf):
     )
 
 
+# --- finished tables ---------------------------------------------------------------------------
+def _ranked(table: DataFrame, *columns: str) -> DataFrame:
+    """The place of each row in the order the table comes in; a finished table has a row per player and season."""
+    placed = table.withColumn("_at", F.monotonically_increasing_id())
+    rank = F.row_number().over(Window.orderBy("_at")).cast("bigint")
+    return placed.select(rank.alias("rank"), *columns)
+
+
+def batting_ranked(spark, sf):
+    return _ranked(bs.batting_season(deliveries(spark, sf)), "player", "year", "team", "runs_scored")
+
+
+def bowling_ranked(spark, sf):
+    return _ranked(bs.bowling_season(deliveries(spark, sf)), "player", "year", "team", "wicket")
+
+
+def bowling_thresholds(spark, sf):
+    """Bounds that cut rows on both sides."""
+    limits = bs.BowlingThresholds(min_wickets=3, max_wickets=9, min_balls=100, max_balls=240)
+    return bs.bowling_season(deliveries(spark, sf), thresholds=limits)
+
+
+def entry_point_bowling_career(spark, sf):
+    return entry_points(bs.Filters().apply(deliveries(spark, sf)), "bowler")
+
+
+def matchup_category(spark, sf):
+    return bs.matchup_season(typed(spark, sf), "bowl_cat", bs.Filters(categories=["Spin"]))
+
+
 # --- matchup -----------------------------------------------------------------------------------
 MATCH_FILTERS = bs.Filters(competitions=["C0", "C2"], types=["Right Arm Pace", "Left Arm Finger Spin", "L"])
 
@@ -421,6 +456,16 @@ QUERIES = {
     "bowling_season_compat": lambda s, sf: bs.bowling_season(deliveries(s, sf), compat=True),
     "bowling_overall": lambda s, sf: bs.bowling_overall(deliveries(s, sf)),
     "bowling_overall_compat": lambda s, sf: bs.bowling_overall(deliveries(s, sf), compat=True),
+    "bowling_season_varied": lambda s, sf: bs.bowling_season(varied(s, sf)),
+    "bowling_season_varied_compat": lambda s, sf: bs.bowling_season(varied(s, sf), compat=True),
+    "bowling_overall_varied": lambda s, sf: bs.bowling_overall(varied(s, sf)),
+    "bowling_overall_varied_compat": lambda s, sf: bs.bowling_overall(varied(s, sf), compat=True),
+    "batting_season_varied": lambda s, sf: bs.batting_season(varied(s, sf)),
+    "batting_ranked": batting_ranked,
+    "bowling_ranked": bowling_ranked,
+    "bowling_thresholds": bowling_thresholds,
+    "matchup_category": matchup_category,
+    "entry_point_bowling_career": entry_point_bowling_career,
     "entry_point_season": entry_point_season,
     "entry_point_overall": entry_point_overall,
     "entry_point_bowling": entry_point_bowling,
