@@ -81,30 +81,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(BLOCK_BYTES, n)
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo 2**64, for the places of one part."""
+    if base not in _powers:
+        up, down = np.full(BLOCK_BYTES, base, np.uint64), np.full(BLOCK_BYTES, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        have = np.cumprod(up), np.cumprod(down)
-        if size <= 4 * BLOCK_BYTES:
-            _powers[base] = have
-    return have
-
-
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes modulo 2**64 of values[starts:ends], the same wherever the values stand."""
-    up, down = _tables(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return _mix((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
+        _powers[base] = np.cumprod(up), np.cumprod(down)
+    return _powers[base]
+
+
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, add: int = 0, part: int = BLOCK_BYTES) -> np.ndarray:
+    """Polynomial hashes modulo 2**64 of values[starts:ends], the same wherever the values stand.
+
+    The values (plus ``add``) are gone over ``part`` at a time, so that a very long text needs
+    no wide copy of itself; the answer does not depend on ``part``.
+    """
+    up, down = _tables(base)
+    inverse = pow(base, -1, 1 << 64)
+    low, high, back = (np.zeros(len(starts), np.uint64) for _ in range(3))
+    before = np.uint64(0)
+    for first in range(0, len(values) + 1, part):
+        wide = values[first : first + part].astype(np.uint64) + np.uint64(add)
+        sums = np.zeros(len(wide) + 1, np.uint64)
+        np.cumsum(wide * up[: len(wide)], out=sums[1:])
+        if first:
+            sums = sums * np.uint64(pow(base, first, 1 << 64)) + before
+        before = sums[-1]
+        begin, end = (slice(None) if len(values) < part else np.flatnonzero(x // part == first // part) for x in (starts, ends))
+        low[begin], high[end] = sums[starts[begin] - first], sums[ends[end] - first]
+        back[begin] = down[starts[begin] - first] * np.uint64(pow(inverse, first, 1 << 64))
+    return _mix((high - low) * back + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(data: np.ndarray, found: Words) -> np.ndarray:
     """A 64-bit hash for each word."""
-    return _spans(data.astype(np.uint64) + np.uint64(1), found.starts, found.ends, _BASE)
+    return _spans(data, found.starts, found.ends, _BASE, 1)
 
 
 def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

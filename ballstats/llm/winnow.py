@@ -51,21 +51,19 @@ def _fingerprint_rows(batches, window: int, gram: int, lengths: Sequence[int], w
             row_of = np.repeat(np.arange(len(counts)), counts)
             nothing = np.zeros(len(counts), np.int64)
             out = [(nothing, nothing, bounds[:-1], np.arange(len(counts)))]
-            marks = _marks(_grams(hashes, gram), window)
-            least = window_minima(marks.view(np.uint64), window - gram + 1)
-            at = np.unique(least[_kinds(counts, bounds, window)]) if len(least) else least
-            out.append((np.full(len(at), window), marks[at], at, row_of[at]))
-            for n in lengths:
-                marks = _marks(_grams(hashes, n), n)
-                if whole:
+            for n in (window, *lengths):
+                marks = _marks(_grams(hashes, gram if n == window else n), n)
+                if n == window:
+                    least = window_minima(marks.view(np.uint64), window - gram + 1)
+                    at = np.unique(least[_kinds(counts, bounds, window)]) if len(least) else least
+                elif whole:
                     at = bounds[:-1][counts == n]
                 else:
                     at = np.flatnonzero(_kinds(counts, bounds, n))
+                if wanted is not None:
+                    at = at[passes(wanted, marks[at])]
                 out.append((np.full(len(at), n), marks[at], at, row_of[at]))
             kind, mark, at, row = (np.concatenate(x) for x in zip(*out, strict=True))
-            if wanted is not None:
-                keep = (kind == 0) | passes(wanted, mark)
-                kind, mark, at, row = kind[keep], mark[keep], at[keep], row[keep]
             left = np.where(kind == window, window - gram, 0)
             right = np.where(kind == window, window, kind)
             lo = np.maximum(at - left, bounds[row])

@@ -10,7 +10,7 @@ from fixtures_llm import docs  # noqa: F401
 import xxhash
 
 from ballstats.llm import graph, phrases, simhash, winnow
-from ballstats.llm.tokens import ALNUM, SPACES, Block, blocks, sequence_hashes, window_minima, word_hashes, words
+from ballstats.llm.tokens import ALNUM, SPACES, Block, _spans, blocks, sequence_hashes, window_minima, word_hashes, words
 
 
 def vocabulary(n, seed=1):
@@ -38,6 +38,18 @@ def test_words_and_hashes():
     assert pairs[0] == pairs[2] and pairs[0] != pairs[1]
 
 
+@pytest.mark.parametrize("part", [1, 7, 64, 300])
+def test_hashes_do_not_depend_on_the_part(part):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 256, 300).astype(np.uint8)
+    starts = rng.integers(0, 300, 500)
+    ends = starts + rng.integers(0, 301 - starts)
+    want = _spans(values, starts, ends, 0x9E3779B97F4A7C15, 1)
+    assert (_spans(values, starts, ends, 0x9E3779B97F4A7C15, 1, part) == want).all()
+    again = _spans(np.concatenate((values[:9], values)), starts + 9, ends + 9, 0x9E3779B97F4A7C15, 1, part)
+    assert (again == want).all()
+
+
 @pytest.mark.parametrize("width", [1, 2, 3, 5, 8, 39])
 def test_window_minima(width):
     values = np.random.default_rng(3).integers(0, 9, 80).astype(np.uint64)
