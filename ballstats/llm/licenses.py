@@ -7,9 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ballstats.llm.license_texts import whole_texts
 from ballstats.llm.shared import row_key
 
-# The wording of public licences and of the notices that name them.
+# The notices that name public licences, and short texts on one line.
 LICENSES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
     "MIT": [
@@ -42,6 +43,9 @@ LICENSES = {
     "CC0-1.0": ["Released under CC0 1.0."],
 }
 
+TEXTS = whole_texts()
+KNOWN = {name: [*LICENSES.get(name, []), *TEXTS.get(name, [])] for name in {**LICENSES, **TEXTS}}
+
 # Spellings that licence matching treats as the same word.
 SPELLINGS = {
     "licence": "license",
@@ -69,7 +73,7 @@ def canonical(text: Column) -> Column:
     return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
-def known_digests(spark: SparkSession, licenses: Mapping[str, list[str]] = LICENSES) -> DataFrame:
+def known_digests(spark: SparkSession, licenses: Mapping[str, list[str]] = KNOWN) -> DataFrame:
     """License id and canonical digest of each known text."""
     rows = [(name, text) for name, texts in licenses.items() for text in texts]
     known = spark.createDataFrame(rows, "license_id string, text string")
@@ -80,11 +84,12 @@ def scan_licenses(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    licenses: Mapping[str, list[str]] = LICENSES,
+    licenses: Mapping[str, list[str]] = KNOWN,
 ) -> DataFrame:
     """For each row: doc_id, canonical_sha256, license_id, and the notices among its lines.
 
-    ``license_id`` names the licence whose canonical text the whole text equals, else null.
+    ``license_id`` names the licence whose canonical text the whole text equals, else null; what
+    is known are the whole texts of ``license_texts`` and the notices.
     ``notices`` lists, sorted and comma-joined, the licences that a single line equals, else
     null; ``n_notice_lines`` counts those lines.  A null text counts as empty and fits nothing.
     Rows that repeat id and text each get their row; an empty table gives none.  A text that

@@ -1,6 +1,8 @@
 """Exact duplicates, licences and URL rules, which run on DataFrame functions only."""
 
 import hashlib
+import textwrap
+from pathlib import Path
 
 import pytest
 from fixtures_llm import docs  # noqa: F401
@@ -80,6 +82,42 @@ def test_license_of_repeated_rows(docs):
     assert len(rows) == 3 and {(r.license_id, r.n_notice_lines) for r in rows} == {("MIT", 1)}
 
 
+OWNER = "Copyright (c) 2020 Some One and Others"
+FILES = [
+    ("MIT", "MIT", "MIT License\n\n{owner}\n\n{text}"),
+    ("MIT", "MIT", "{owner}\n\n{text}"),
+    ("ISC", "ISC", "The ISC License\n\n{owner}\n\n{text}"),
+    ("BSD-3-Clause", "BSD-3-Clause", "BSD 3-Clause License\n\n{owner}\nAll rights reserved.\n\n{text}"),
+    ("BSD-2-Clause", "BSD-2-Clause", "{owner}\n\n{text}"),
+    *((name, name, "{text}") for name in sorted({*licenses.TEXTS} - {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"})),
+]
+
+
+def test_whole_license_files(docs):
+    folder = Path(licenses.__file__).with_name("license_texts")
+    rows, want = [], {}
+    for i, (name, license_id, form) in enumerate(FILES):
+        text = (folder / f"{name}.txt").read_text()
+        rows.append((i, form.format(owner=OWNER, text=text)))
+        want[i] = license_id
+    rows += [(100, rows[0][1] + "\nand one more condition"), (101, rows[0][1].replace("free of charge", "for a fee"))]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs(rows)).collect()}
+    assert got == {**want, 100: None, 101: None}
+
+
+def test_mit_file_wrapped_elsewhere(docs):
+    text = (Path(licenses.__file__).with_name("license_texts") / "MIT.txt").read_text()
+    words = "\n\n".join(textwrap.fill(" ".join(p.split()), 72) for p in text.split("\n\n"))
+    one = "MIT License\n\nCopyright (c) 1999-2020 Some One\n\n" + words
+    rows = licenses.scan_licenses(docs([(1, one), (2, one.replace("\n", "\r\n"))])).collect()
+    assert [r.license_id for r in rows] == ["MIT", "MIT"]
+
+
+def test_no_text_is_two_licenses(spark):
+    known = licenses.known_digests(spark, licenses.KNOWN)
+    assert known.groupBy("digest").count().filter("count > 1").count() == 0
+
+
 def judge(url):
     sep = (url or "").find("://")
     if sep < 0:
