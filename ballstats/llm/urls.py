@@ -36,15 +36,20 @@ RULES = (
 )
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; none: empty."""
+    return F.when(F.contains(url, F.lit("://")), F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise("")
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; none: empty."""
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    host = F.regexp_extract(_after_scheme(url), r"(?s)^([^/?#]*)", 1)
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def url_path(url: Column) -> Column:
-    """What follows the host, up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """What follows the host, up to ``?``, ``#`` or the end; a ``://`` further on starts no other host."""
+    return F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*(/[^?#]*)", 1)
 
 
 def rule_index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:

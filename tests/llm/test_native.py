@@ -146,6 +146,17 @@ def test_url_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_a_later_scheme_starts_no_host(spark):
+    given = [
+        "http://a.net?u=http://x.org/p", "http://a.net#http://x.org/p", "http://x.org?u=https://example.net/en/", "http://a.net:80?u=://b/",
+        "http://a.net/p?u=http://x.org/fr/", "http://a.net://b.org/fr/", "://?u=http://x.org/fr/", "a?u=http://x.org?v=http://y.net/",
+    ]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id bigint, url string")
+    got = sorted(map(str, (tuple(r) for r in urls.judge_urls(pages).collect())))
+    assert got == sorted(str((i, *judge(u))) for i, u in enumerate(given))
+    assert judge(given[0]) == ("a.net", "", None, "allow")
+
+
 def test_rules_stand_under_their_rarest_token(spark):
     tokens = spark.createDataFrame([(["a", "net"],), (["b", "net", "example"],), (["c", "net"],)], "tokens array<string>")
     index = {r.rule: r.token for r in urls.rule_index(tokens, urls.RULES).collect()}
