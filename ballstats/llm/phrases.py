@@ -312,12 +312,14 @@ def repeated_spans(
         .select("rid", "phrase", "first", "last", (F.col("owner") < F.col("doc_id")).alias("repeats"), "shared")
         .filter("repeats or shared")
     )
-    one_row = whole.groupBy("key").agg(F.min("rid").alias("rid"))
+    one_row = whole.groupBy("key").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("rows"))
+    several = save(one_row.filter("rows > 1").select("key", F.col("rid").alias("first_rid")))
+    copies = save(whole.join(several, "key").filter("rid > first_rid").select("first_rid", F.col("rid").alias("copy")))
     wanted = (
         marked.filter("not repeats")
         .groupBy("rid")
         .agg(F.collect_list(F.struct("phrase", "first", "last")).alias("stretches"))
-        .join(one_row, "rid")
+        .join(one_row.select("key", "rid"), "rid")
     )
     texts = docs.select(
         row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), bytes_of(F.col(text)).alias("text")
@@ -328,13 +330,16 @@ def repeated_spans(
 
     contexts = save(
         texts.join(wanted, "key")
+        .dropDuplicates(["key"])  # rows that repeat id and text are read once
         .select("rid", "doc_id", "text", "stretches")
         .mapInArrow(read, f"rid bigint, doc_id {kind}, phrase bigint, first bigint, context string, windows array<bigint>")
     )
-    located = _located(contexts, window, shard_stretches)
+    located = save(_located(contexts, window, shard_stretches))
+    also = located.join(copies, located["rid"] == copies["first_rid"]).select(F.col("copy").alias("rid"), "start", "stop")
     repeated = marked.filter("repeats").select("rid", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
     spans = (
         repeated.union(located)
+        .union(also)
         .groupBy("rid")
         .agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
         .mapInArrow(_lengths, f"rid bigint, spans {_SPANS}, n_removed bigint")

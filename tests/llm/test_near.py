@@ -209,6 +209,17 @@ def test_repeated_phrases(docs):
     assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 10)))
 
 
+def test_repeated_rows_with_a_partly_shared_passage(docs):
+    rng, vocab = random.Random(11), vocabulary(400, 2)
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    shared = text(60)
+    one, two = f"{text(20)} {shared} {text(20)}", f"{text(25)} {shared} {text(15)}"
+    rows = [(1, one), (2, two), (2, two), (2, two), (3, f"{text(5)} {shared}"), (3, f"{text(5)} {shared}"), (1, one)]
+    got = [tuple(r) for r in phrases.repeated_phrases(docs(rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 50)))
+    assert {r[2] for r in got if r[0] == 2} == {60}
+
+
 def test_repeated_phrases_of_nothing(docs):
     assert phrases.repeated_phrases(docs([])).count() == 0
     got = phrases.repeated_phrases(docs([(1, None), (2, "a b")])).collect()
