@@ -140,18 +140,18 @@ def locate(patterns: pa.Table, streams: pa.Table, window: int) -> list[tuple[int
     """(rid, start, stop) of the windows of ``streams`` that also stand in a ``patterns`` row of a smaller id.
 
     Words become numbers, and windows are compiled into automata of a bounded number of windows,
-    each phrase in one; a stretch runs through the automata of its phrase.
+    each part of a phrase in one; a stretch runs through the automata of its phrase's part.
     """
     import ahocorasick
 
     numbers: dict[str, int] = {}
     code = lambda text: tuple([numbers.setdefault(w, len(numbers) + 1) for w in text.split(" ")])
-    by_phrase: dict[int, list] = {}
+    by_part: dict[tuple[int, int], list] = {}
     for row in streams.to_pylist():
-        by_phrase.setdefault(row["phrase"], []).append((row["rid"], row["doc_id"], row["first"], code(row["context"])))
-    known: dict[int, dict[tuple, object]] = {}
+        by_part.setdefault((row["phrase"], row["part"]), []).append((row["rid"], row["doc_id"], row["first"], code(row["context"])))
+    known: dict[tuple[int, int], dict[tuple, object]] = {}
     for row in patterns.to_pylist():
-        line, own = code(row["context"]), known.setdefault(row["phrase"], {})
+        line, own = code(row["context"]), known.setdefault((row["phrase"], row["part"]), {})
         for offset in row["offsets"]:
             key = line[offset : offset + window]
             have = own.get(key)
@@ -173,7 +173,7 @@ def locate(patterns: pa.Table, streams: pa.Table, window: int) -> list[tuple[int
             if found:
                 hits.setdefault(rid, set()).update(found)
 
-    for phrase, own in known.items():
+    for group, own in known.items():
         items = list(own.items())
         for at in range(0, len(items), AUTOMATON_WINDOWS):
             part = items[at : at + AUTOMATON_WINDOWS]
@@ -181,40 +181,58 @@ def locate(patterns: pa.Table, streams: pa.Table, window: int) -> list[tuple[int
                 run()
                 block, readers = {}, []
             block.update(part)
-            readers += by_phrase.get(phrase, [])
+            readers += by_part.get(group, [])
     run()
     return [(rid, a, b) for rid, places in hits.items() for a, b in _merged(places, window)]
 
 
-def _located(contexts: DataFrame, window: int, shard_stretches: int) -> DataFrame:
-    """(rid, start, stop): windows of different stretches of one phrase that a smaller id has, too."""
+def _dealt(contexts: DataFrame, shard_stretches: int) -> tuple[DataFrame, DataFrame]:
+    """By shard the stretches that own recurring windows, with these windows' offsets, and those that read them.
+
+    The recurring windows of a phrase with many are divided into parts by hash, and a stretch goes to
+    the parts of its own windows only.  The readers of a part are divided among as many shards as they
+    fill, each with that part's windows, so neither windows nor readers of a group grow with the phrase.
+    """
     single = contexts.select("phrase", "rid", "doc_id", "first", F.posexplode("windows").alias("offset", "mark"))
     first = single.groupBy("phrase", "mark").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last_owner"))
     recurring = save(first.filter("owner < last_owner").select("phrase", "mark", "owner"))
-    placed = single.join(recurring, ["phrase", "mark"])
+
+    def shares(n):
+        return F.ceil(n / shard_stretches).cast("int")
+
+    many = save(recurring.groupBy("phrase").agg(shares(F.count(F.lit(1))).alias("parts")).filter("parts > 1"))
+    part = F.pmod(F.xxhash64("mark"), F.coalesce("parts", F.lit(1))).cast("int")
+    divided = recurring.join(many, "phrase", "left").select("phrase", "mark", "owner", part.alias("part"))
+    placed = single.join(divided, ["phrase", "mark"])
     roles = save(
-        placed.groupBy("phrase", "rid", "first").agg(
+        placed.groupBy("phrase", "part", "rid", "first").agg(
             F.sort_array(F.collect_list(F.when(F.col("owner") == F.col("doc_id"), F.col("offset")))).alias("offsets"),
             F.max(F.when(F.col("owner") < F.col("doc_id"), F.lit(1)).otherwise(F.lit(0))).alias("reads"),
         )
     )
     chosen = contexts.drop("windows").join(roles, ["phrase", "rid", "first"])
-    readers = roles.filter("reads = 1").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    salts = save(readers.select("phrase", F.ceil(F.col("n") / shard_stretches).cast("int").alias("salts")))
+    readers = roles.filter("reads = 1").groupBy("phrase", "part").agg(shares(F.count(F.lit(1))).alias("salts"))
+    salted = chosen.join(save(readers.filter("salts > 1")), ["phrase", "part"], "left")
+    salted = salted.withColumn("salts", F.coalesce("salts", F.lit(1)))
     shards = max(1, roles.count() // shard_stretches)
 
     def shard(salt):
-        return F.pmod(F.xxhash64("phrase", salt.cast("long")), F.lit(shards)).alias("shard")
+        return F.pmod(F.xxhash64("phrase", "part", salt.cast("long")), F.lit(shards)).alias("shard")
 
-    salted = chosen.join(salts, "phrase")
     streams = salted.filter("reads = 1").select(
-        shard(F.pmod(F.xxhash64("rid"), F.col("salts"))), "phrase", "rid", "doc_id", "first", "context"
+        shard(F.pmod(F.xxhash64("rid"), F.col("salts"))), "phrase", "part", "rid", "doc_id", "first", "context"
     )
     patterns = (
         salted.filter(F.size("offsets") > 0)
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .select(shard(F.col("salt")), *[F.col(c).alias(c) for c in ("phrase", "doc_id", "offsets", "context")])
+        .select(shard(F.col("salt")), *[F.col(c).alias(c) for c in ("phrase", "part", "doc_id", "offsets", "context")])
     )
+    return patterns, streams
+
+
+def _located(contexts: DataFrame, window: int, shard_stretches: int) -> DataFrame:
+    """(rid, start, stop): windows of different stretches of one phrase that a smaller id has, too."""
+    patterns, streams = _dealt(contexts, shard_stretches)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rid, start, stop = zip(*(locate(left, right, window) or [(None, None, None)]), strict=True)

@@ -220,6 +220,17 @@ def test_repeated_rows_with_a_partly_shared_passage(docs):
     assert {r[2] for r in got if r[0] == 2} == {60}
 
 
+def test_a_hot_phrase_is_divided_by_window(spark):
+    rows = [(2 * g + k, 2 * g + k, 1, 0, "w", [g]) for g in range(300) for k in (0, 1)]
+    kinds = "rid bigint, doc_id bigint, phrase bigint, first bigint, context string, windows array<bigint>"
+    patterns, streams = phrases._dealt(spark.createDataFrame(rows, kinds), 20)
+    assert streams.count() == 300 and patterns.count() <= 900  # not 300 for each of 15 shards
+    assert max(r["count"] for r in patterns.groupBy("part").count().collect()) <= 50
+    one = [(i, i, 1, 0, "w", [7]) for i in range(300)]  # one window with many readers still takes many shards
+    patterns, streams = phrases._dealt(spark.createDataFrame(one, kinds), 20)
+    assert patterns.count() == 15 and streams.count() == 299 and streams.select("shard").distinct().count() > 3
+
+
 def test_repeated_phrases_of_nothing(docs):
     assert phrases.repeated_phrases(docs([])).count() == 0
     got = phrases.repeated_phrases(docs([(1, None), (2, "a b")])).collect()
