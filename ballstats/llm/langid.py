@@ -84,14 +84,17 @@ def train(
 ) -> Net:
     """Fit by backpropagation through time: every position of a span learns its text's language.
 
-    Few texts are gone over more often, so that there are ``least_steps`` steps.
+    A text is cut into spans as ``pooled`` cuts it, the last one filled with zero bytes that are read
+    but not learned from.  Few texts are gone over more often, so that there are ``least_steps`` steps.
     """
     languages = tuple(sorted(set(labels)))
-    pieces, truth = [], []
+    pieces, truth, held = [], [], []
     for text, label in zip(texts, labels, strict=True):
-        for at in range(0, len(text) - span + 1, span):
-            pieces.append(text[at : at + span])
+        for at in range(0, len(text), span):
+            part = text[at : at + span]
+            pieces.append(part.ljust(span, b"\0"))
             truth.append(languages.index(label))
+            held.append(len(part))
     rng, h, n = np.random.default_rng(seed), hidden, len(languages)
     net = Net(
         languages,
@@ -103,7 +106,7 @@ def train(
     if not pieces or n < 2:
         return net
     data = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, span).T
-    target = np.array(truth)
+    target, real = np.array(truth), np.arange(span)[:, None] < np.array(held)
     weights = list(net[1:])
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     each = -(-len(target) // batch)
@@ -113,7 +116,7 @@ def train(
         order = rng.permutation(len(target))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            slopes = _gradient(net, np.ascontiguousarray(data[:, pick]), target[pick])
+            slopes = _gradient(net, np.ascontiguousarray(data[:, pick]), target[pick], real[:, pick])
             step += 1
             now = rate * (1 - step / (total + 1))
             for w, m, v, s in zip(weights, first, second, slopes, strict=True):
@@ -123,13 +126,18 @@ def train(
     return net
 
 
-def _gradient(net: Net, bytes_at: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+def _gradient(net: Net, bytes_at: np.ndarray, target: np.ndarray, real: np.ndarray | None = None) -> list[np.ndarray]:
+    """Slopes of the mean loss over the positions that ``real`` marks (all without it)."""
     length, lanes = bytes_at.shape
     h, trail = net.recur.shape[2], []
     states = _states(net, bytes_at, trail)
     d_scores = _probabilities(net, states)
     d_scores[:, target, np.arange(lanes)] -= 1
-    d_scores /= length * lanes
+    if real is None:
+        d_scores /= length * lanes
+    else:
+        d_scores *= real[:, None, :]
+        d_scores /= real.sum()
     d_label = np.einsum("tnl,thl->nh", d_scores, states, optimize=True)
     d_states = np.matmul(net.label.T, d_scores)
     d_embed, d_recur = np.zeros_like(net.embed), np.zeros_like(net.recur)

@@ -73,6 +73,28 @@ def test_gradient():
             assert slopes[which][at] == pytest.approx((up - down) / (2 * step), abs=2e-2)
 
 
+def test_short_texts_are_learned(docs):
+    rng = random.Random(4)
+    rows = [(i, invented(rng, lang, 9)[:20], lang) for i, lang in enumerate(["aa", "bb"] * 150)]
+    assert max(len(t) for _, t, _ in rows) == 20
+    got = [(r.lang_pred, rows[r.doc_id][2]) for r in langid.identify(docs(rows)).collect() if r.held_out]
+    assert len(got) > 40 and sum(a == b for a, b in got) >= 0.9 * len(got)
+
+
+def test_a_language_of_short_texts_is_found():
+    rng = random.Random(5)
+    texts = [invented(rng, "aa", 60) for _ in range(40)] + [invented(rng, "bb", 9)[:20] for _ in range(200)]
+    net = langid.train([t.encode() for t in texts], ["aa"] * 40 + ["bb"] * 200)
+    fresh = [invented(rng, "bb", 9)[:20].encode() for _ in range(50)]
+    shares = langid.pooled(net, np.frombuffer(b"".join(fresh), np.uint8), np.cumsum([0, *map(len, fresh)]))
+    assert (shares.argmax(axis=1) == 1).mean() >= 0.9
+
+
+def test_a_text_without_a_full_span_changes_the_weights():
+    one, two = (langid.train([a, b], ["x", "y"], least_steps=4, epochs=1) for a, b in [(b"ab", b"cd"), (b"cd", b"ab")])
+    assert not np.allclose(one.embed, two.embed) and np.abs(one.embed[:, 0] - two.embed[:, 0]).max() > 0  # the zero byte, too
+
+
 def test_padding_and_pooling():
     net = langid.train([b"abcab" * 30, b"xyzxy" * 30], ["a", "x"], epochs=6)
     texts = [b"abc" * 40, b"", b"x", b"abc" * 40]
