@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +17,7 @@ from ballstats.llm.tokens import blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 MEMO_SEGMENTS = 500_000
+LONG, LONG_ARCS = 4096, 1 << 20
 SPACE = "▁"
 LITERAL = "\ud800"  # stands for a ``▁`` of the text: a lone surrogate, which no text holds
 
@@ -57,6 +59,37 @@ def _raw(character: str) -> bytes:
     return (" " if character == SPACE else SPACE if character == LITERAL else character).encode()
 
 
+def _n_best_long(segment: str, vocabulary: Vocabulary, n: int) -> list[tuple[float, list[int]]]:
+    """As ``n_best``, with the n best ways to every place in flat arrays, so that memory is a fixed size a place."""
+    size = len(segment)
+    best = array("d", [-np.inf]) * ((size + 1) * n)
+    best[0] = 0.0
+    lengths, ranks = array("i", [0]) * ((size + 1) * n), array("i", [0]) * ((size + 1) * n)
+    for end in range(1, size + 1):
+        ways = []
+        for length in range(1, min(end, vocabulary.longest) + 1):
+            gain = vocabulary.scores.get(segment[end - length : end], vocabulary.byte_score if length == 1 else None)
+            if gain is not None:
+                at = (end - length) * n
+                ways += [(-(best[at + r] + gain), length, r) for r in range(n) if best[at + r] > -np.inf]
+        for r, (loss, length, rank) in enumerate(heapq.nsmallest(n, ways)):
+            best[end * n + r], lengths[end * n + r], ranks[end * n + r] = -loss, length, rank
+    found = []
+    for first in range(n):
+        if best[size * n + first] == -np.inf:
+            break
+        out: list[int] = []
+        at, rank = size, first
+        while at:
+            length, before = lengths[at * n + rank], ranks[at * n + rank]
+            piece = segment[at - length : at]
+            known = vocabulary.ids.get(piece)
+            out += [known] if known is not None else [vocabulary.byte_ids[b] for b in reversed(_raw(piece))]
+            at, rank = at - length, before
+        found.append((best[size * n + first], out[::-1]))
+    return found
+
+
 def n_best(segment: str, vocabulary: Vocabulary, n: int = N_BEST) -> list[tuple[float, list[int]]]:
     """The n best ways to write a segment as pieces, best first, with their scores.
 
@@ -66,6 +99,8 @@ def n_best(segment: str, vocabulary: Vocabulary, n: int = N_BEST) -> list[tuple[
     remainder is exact, so paths are completed in the order of their scores.
     """
     size = len(segment)
+    if size > LONG:
+        return _n_best_long(segment, vocabulary, n)
     best = [-np.inf] * (size + 1)
     best[0] = 0.0
     arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
@@ -191,6 +226,10 @@ class Viterbi:
             if not len(rows):
                 continue
             size = int(sizes[rows[0]])
+            if size > LONG:
+                for i in rows.tolist():
+                    out[i], scores[i], losses[i] = self._solve_long(found[i])
+                continue
             step = max(1, (1 << 18) // (size * min(size, self.vocabulary.longest)))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
@@ -246,6 +285,56 @@ class Viterbi:
         return Solved(out, fore[size], fore[size] - second)
 
 
+    def _arcs(self, sums: np.ndarray, first: int, stop: int):
+        """End, length, score and id of the arcs that end at first + 1 to stop, by end and then length."""
+        longest = self.vocabulary.longest
+        score, ids = np.full((stop - first, longest), -np.inf), np.full((stop - first, longest), -1, np.int64)
+        for length in range(1, longest + 1):
+            ends = np.arange(max(first + 1, length), stop + 1)
+            place = self._find(sums[ends] - sums[ends - length] * self.powers[length])
+            score[ends - first - 1, length - 1], ids[ends - first - 1, length - 1] = self.scores[place], self.ids[place]
+        score[:, 0][ids[:, 0] < 0] = self.vocabulary.byte_score
+        row, column = np.nonzero(score > -np.inf)
+        return row + first + 1, column + 1, score[row, column], ids[row, column]
+
+    def _solve_long(self, segment: str) -> tuple[bytes, float, float]:
+        """As ``_solve`` for one long segment: a few numbers a place; arcs are found again, some places at a time."""
+        size = len(segment)
+        codes, total, sums = segment.encode("utf-32-le", "surrogatepass"), 0, array("Q", [0])
+        for code in np.frombuffer(codes, np.uint32).tolist():
+            total = (total * self.BASE + code + 1) & ((1 << 64) - 1)
+            sums.append(total)
+        sums = np.frombuffer(sums, np.uint64)
+        step = max(1, LONG_ARCS // self.vocabulary.longest)
+        parts = [(a, min(a + step, size)) for a in range(0, size, step)]
+        fore, back = (array("d", [-np.inf]) * (size + 1) for _ in range(2))
+        fore[0] = back[size] = 0.0
+        came, piece = array("i", [0]) * (size + 1), array("i", [0]) * (size + 1)
+        for part in parts:
+            for j, length, score, known in zip(*(x.tolist() for x in self._arcs(sums, *part)), strict=True):
+                if fore[j - length] + score > fore[j]:
+                    fore[j], came[j], piece[j] = fore[j - length] + score, length, known
+        for part in reversed(parts):
+            ends, lengths, scores, _ = (x[::-1].tolist() for x in self._arcs(sums, *part))
+            for j, length, score in zip(ends, lengths, scores, strict=True):
+                if back[j] + score > back[j - length]:
+                    back[j - length] = back[j] + score
+        taken, own, at = np.zeros(size + 1, np.int64), array("i"), size
+        while at:
+            taken[at] = came[at]
+            if piece[at] >= 0:
+                own.append(piece[at])
+            else:
+                own.extend([self.vocabulary.byte_ids[c] for c in reversed(_raw(segment[at - 1]))])
+            at -= came[at]
+        second, before, after = -np.inf, np.frombuffer(fore), np.frombuffer(back)
+        for part in parts:
+            ends, lengths, scores, _ = self._arcs(sums, *part)
+            other = (before[ends - lengths] + scores + after[ends])[taken[ends] != lengths]
+            second = max(second, float(other.max(initial=-np.inf)))
+        return np.array(own[::-1], np.int32).tobytes(), fore[size], fore[size] - second
+
+
 class Encoder:
     """Writes texts as pieces; it remembers short segments, up to a fixed number."""
 

@@ -230,6 +230,36 @@ def test_astar_agrees_with_viterbi():
         assert loss == (best[0][0] - best[1][0] if len(best) > 1 else np.inf)
 
 
+def test_long_segments_agree_with_short_ones(monkeypatch):
+    found = [s for t in TEXTS for s in pieces.segments(t)]
+    viterbi = pieces.Viterbi(VOCABULARY)
+    want, lists = viterbi.solve(found), [[s for s, _ in pieces.n_best(x, VOCABULARY)] for x in found]
+    monkeypatch.setattr(pieces, "LONG", 0)
+    monkeypatch.setattr(pieces, "LONG_ARCS", 100)
+    got = viterbi.solve(found)
+    assert got.ids == want.ids and (got.scores == want.scores).all() and (got.losses == want.losses).all()
+    for segment, scores in zip(found, lists, strict=True):
+        options = pieces.n_best(segment, VOCABULARY)
+        assert [s for s, _ in options] == pytest.approx(scores) and len({tuple(i) for _, i in options}) == len(options)
+        assert all(pieces.decode([*ids], VOCABULARY) == pieces.decode(options[0][1], VOCABULARY) for _, ids in options)
+
+
+def test_a_million_unbroken_characters():
+    import tracemalloc
+
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789漢字", k=1_000_000))
+    (segment,) = pieces.segments(text)
+    viterbi = pieces.Viterbi(VOCABULARY)
+    tracemalloc.start()
+    raw, score, loss = viterbi._solve_long(segment[:100_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20 and np.isfinite(score) and loss >= 0
+    ((raw, scores, _),) = pieces.Encoder(VOCABULARY)([text])
+    assert pieces.decode(np.frombuffer(raw, np.int32).tolist(), VOCABULARY) == text and len(scores) == 4
+
+
 def test_encode_round_trip(spark, docs):
     rows = list(enumerate(TEXTS)) + [(50, None), (50, "again"), (None, "no id"), (51, "long words " * 20_000)]
     encoded = pieces.encode(docs(rows))
