@@ -25,6 +25,16 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back; the file system removes them when the session ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ingest(raw: DataFrame, path: str, partition_by: Sequence[str] = ("league", "year"), mode: str = "overwrite") -> None:
     """Write raw rows once as a prepared table with a whole-number ``seq`` in file order.
 
