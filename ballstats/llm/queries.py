@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ballstats.llm import exact, katz, langid, licenses, phrases, pieces, shards, simhash, urls, winnow
+from ballstats.llm import colloc, exact, katz, langid, licenses, mixing, phrases, pieces, resample, shards, simhash, urls, winnow
 from ballstats.llm.shared import table
 
 
@@ -52,6 +52,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colloc.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,5 +79,8 @@ QUERIES = {
         op8_pieces,
         op9_exact_dedup,
         op10_licenses,
+        op11_mixing,
+        op12_resampling,
+        op13_collocations,
     )
 }
