@@ -5,6 +5,9 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
+from itertools import chain
+from sys import getsizeof
 from typing import NamedTuple
 
 import numpy as np
@@ -16,8 +19,10 @@ from ballstats.llm.tokens import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-MEMO_SEGMENTS = 500_000
-LONG, LONG_ARCS = 4096, 1 << 20
+MEMO_BYTES, MEMO_LENGTH = 256 << 20, 64  # bytes of remembered segments, and the longest that is remembered
+ENTRY_BYTES = 400  # what an entry of the memo takes besides its text and ids
+BLOCK_BYTES = 4 << 20  # text written at a time
+LONG, LONG_ARCS = 4096, 1 << 20  # longer segments are solved by themselves, and their arcs found so many at a time
 SPACE = "▁"
 LITERAL = "\ud800"  # stands for a ``▁`` of the text: a lone surrogate, which no text holds
 
@@ -59,67 +64,33 @@ def _raw(character: str) -> bytes:
     return (" " if character == SPACE else SPACE if character == LITERAL else character).encode()
 
 
-def _n_best_long(segment: str, vocabulary: Vocabulary, n: int) -> list[tuple[float, list[int]]]:
-    """As ``n_best``, with the n best ways to every place in flat arrays, so that memory is a fixed size a place."""
-    size = len(segment)
-    best = array("d", [-np.inf]) * ((size + 1) * n)
-    best[0] = 0.0
-    lengths, ranks = array("i", [0]) * ((size + 1) * n), array("i", [0]) * ((size + 1) * n)
-    for end in range(1, size + 1):
-        ways = []
-        for length in range(1, min(end, vocabulary.longest) + 1):
-            gain = vocabulary.scores.get(segment[end - length : end], vocabulary.byte_score if length == 1 else None)
-            if gain is not None:
-                at = (end - length) * n
-                ways += [(-(best[at + r] + gain), length, r) for r in range(n) if best[at + r] > -np.inf]
-        for r, (loss, length, rank) in enumerate(heapq.nsmallest(n, ways)):
-            best[end * n + r], lengths[end * n + r], ranks[end * n + r] = -loss, length, rank
-    found = []
-    for first in range(n):
-        if best[size * n + first] == -np.inf:
-            break
-        out: list[int] = []
-        at, rank = size, first
-        while at:
-            length, before = lengths[at * n + rank], ranks[at * n + rank]
-            piece = segment[at - length : at]
-            known = vocabulary.ids.get(piece)
-            out += [known] if known is not None else [vocabulary.byte_ids[b] for b in reversed(_raw(piece))]
-            at, rank = at - length, before
-        found.append((best[size * n + first], out[::-1]))
-    return found
-
-
 def n_best(segment: str, vocabulary: Vocabulary, n: int = N_BEST) -> list[tuple[float, list[int]]]:
     """The n best ways to write a segment as pieces, best first, with their scores.
 
     ``segment`` has ``▁`` for spaces and ``LITERAL`` for a literal ``▁``, which only bytes can write.
-    The forward Viterbi pass gives the best score from the start to every place; a search from
+    The forward Viterbi pass gives the best score from the start to every place; an A* search from
     the end then extends the path of highest score so far plus that best remainder.  The
-    remainder is exact, so paths are completed in the order of their scores.
+    remainder is exact, so paths are completed in the order of their scores, and every open path
+    stands for one complete path of just its value: as many open ones as are still wanted are
+    enough.  Arcs are found where a path is extended, so a segment of any length takes eight bytes a
+    place and the paths themselves.
     """
-    size = len(segment)
-    if size > LONG:
-        return _n_best_long(segment, vocabulary, n)
-    best = [-np.inf] * (size + 1)
+    size, longest, scores = len(segment), vocabulary.longest, vocabulary.scores
+    best = array("d", [-np.inf]) * (size + 1)
     best[0] = 0.0
-    arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
     for at in range(size):
-        for end in range(at + 1, min(size, at + vocabulary.longest) + 1):
-            piece = segment[at:end]
-            known = vocabulary.ids.get(piece)
-            if known is not None:
-                score, ids = vocabulary.scores[piece], (known,)
-            elif end == at + 1:
-                score, ids = vocabulary.byte_score, tuple(vocabulary.byte_ids[b] for b in _raw(piece))
-            else:
-                continue
-            arcs[end].append((at, score, ids))
-            if best[at] + score > best[end]:
-                best[end] = best[at] + score
+        here = best[at]
+        for end in range(at + 1, min(size, at + longest) + 1):
+            score = scores.get(segment[at:end])
+            if score is None:
+                if end > at + 1:
+                    continue
+                score = vocabulary.byte_score
+            if here + score > best[end]:
+                best[end] = here + score
     found: list[tuple[float, list[int]]] = []
     turn = 0
-    open_paths = [(-best[size], 0, size, 0.0, None)]
+    open_paths: list[tuple] = [(-best[size], 0, size, 0.0, None)]
     while open_paths and len(found) < n:
         _, _, at, score, tail = heapq.heappop(open_paths)
         if at == 0:
@@ -129,9 +100,19 @@ def n_best(segment: str, vocabulary: Vocabulary, n: int = N_BEST) -> list[tuple[
                 tail = tail[1]
             found.append((score, ids))
             continue
-        for before, gain, ids in arcs[at]:
+        for before in range(max(0, at - longest), at):
+            piece = segment[before:at]
+            known = vocabulary.ids.get(piece)
+            if known is not None:
+                gain, own = scores[piece], (known,)
+            elif before == at - 1:
+                gain, own = vocabulary.byte_score, tuple(vocabulary.byte_ids[b] for b in _raw(piece))
+            else:
+                continue
             turn += 1
-            heapq.heappush(open_paths, (-(score + gain + best[before]), turn, before, score + gain, (ids, tail)))
+            heapq.heappush(open_paths, (-(score + gain + best[before]), turn, before, score + gain, (own, tail)))
+        if len(open_paths) > n - len(found):
+            open_paths = heapq.nsmallest(n - len(found), open_paths)  # sorted, and so a heap
     return found
 
 
@@ -191,7 +172,7 @@ class Viterbi:
         self.keys = np.array([*map(self._hash, pieces), 0], np.uint64)
         self.ids = np.array([*vocabulary.ids.values(), -1], np.int64)
         self.scores = np.array([*vocabulary.scores.values(), -np.inf])
-        self.tables = np.full((2, 1 << self.SIDE), len(pieces))
+        self.tables = np.full((2, 1 << self.SIDE), len(pieces), np.int32)
         places = np.stack([self._slots(self.keys, way) for way in (0, 1)])
         for start in range(len(pieces)):  # each key has one place in either table; the newcomer sends the old one to its other
             i, way = start, 0
@@ -214,8 +195,10 @@ class Viterbi:
         return ((keys * np.uint64(self.MIXERS[way])) >> np.uint64(64 - self.SIDE)).view(np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        one, two = (self.tables[way][self._slots(keys, way)] for way in (0, 1))
-        return np.where(self.keys[one] == keys, one, np.where(self.keys[two] == keys, two, len(self.keys) - 1))
+        """The place of each key; of one that is no piece's, the last."""
+        one, two = (self.tables[way].take(self._slots(keys, way)) for way in (0, 1))
+        two[self.keys.take(two) != keys] = len(self.keys) - 1
+        return np.where(self.keys.take(one) == keys, one, two).astype(np.int64)
 
     def solve(self, found: list[str]) -> Solved:
         out: list[bytes] = [b""] * len(found)
@@ -246,20 +229,20 @@ class Viterbi:
             sums[j + 1] = sums[j] * np.uint64(self.BASE) + (codes[j].astype(np.uint64) + np.uint64(1))
         fore, back = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
         fore[0] = back[size] = 0
-        came, piece = np.zeros((size + 1, n), np.int64), np.zeros((size + 1, n), np.int64)
-        arcs = {}
+        chosen = np.zeros((size + 1, n), np.int64)  # the arc that fore comes by: its piece's place, and its length
+        bits, arcs = longest.bit_length(), {}
         for j in range(1, size + 1):
             for length in range(1, min(j, longest) + 1):
                 place = self._find(sums[j] - sums[j - length] * self.powers[length])
-                score, ids = self.scores[place], self.ids[place]
+                score = self.scores[place]
                 if length == 1:
-                    score = np.where(ids < 0, self.vocabulary.byte_score, score)
+                    score[place == len(self.keys) - 1] = self.vocabulary.byte_score
                 arcs[j, length] = score
                 total = fore[j - length] + score
                 better = total > fore[j]
                 np.copyto(fore[j], total, where=better)
-                np.copyto(came[j], length, where=better)
-                np.copyto(piece[j], ids, where=better)
+                np.copyto(chosen[j], place << bits | length, where=better)
+        came, piece = chosen & ((1 << bits) - 1), chosen >> bits
         for (j, length), score in reversed(arcs.items()):
             np.maximum(back[j - length], back[j] + score, out=back[j - length])
         on_path = np.zeros((size + 1, n), bool)
@@ -273,7 +256,7 @@ class Viterbi:
             other[on_path[j] & (came[j] == length)] = -np.inf
             np.maximum(second, other, out=second)
         lane, place = np.nonzero(on_path.T)
-        ids = piece[place, lane].astype(np.int32)
+        ids = self.ids[piece[place, lane]].astype(np.int32)
         bounds = np.searchsorted(lane, np.arange(n + 1))
         flat, ends = ids.tobytes(), (bounds * 4).tolist()
         out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -335,8 +318,25 @@ class Viterbi:
         return np.array(own[::-1], np.int32).tobytes(), fore[size], fore[size] - second
 
 
+class Encoded(NamedTuple):
+    """Some texts as pieces: all their ids, the bounds of each text's in them, scores of the n best, and edits.
+
+    An edit says what differs in the second best and later ones: (rank, first place, places, ids put there instead).
+    """
+
+    ids: np.ndarray
+    bounds: np.ndarray
+    scores: list[list[float]]
+    edits: list[list[tuple[int, int, int, list[int]]]]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of consecutive runs, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Encoder:
-    """Writes texts as pieces; it remembers short segments, up to a fixed number."""
+    """Writes texts as pieces; it remembers segments of ordinary length, as many as fit in ``MEMO_BYTES``."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST):
         self.vocabulary, self.n, self.viterbi = vocabulary, n, Viterbi(vocabulary)
@@ -344,65 +344,102 @@ class Encoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.best = Solved([], np.zeros(0), np.zeros(0))
-        self.sizes = np.zeros(0, np.int64)
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.scores, self.losses = np.zeros(0), np.zeros(0)
         self.lists: dict[str, list] = {}
+        self.held = 0
 
     def learn(self, new: list[str]) -> None:
-        solved, before = self.viterbi.solve(new), self.best
+        ids, scores, losses = self.viterbi.solve(new)
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.best = Solved(before.ids + solved.ids, *(np.concatenate(x) for x in zip(before[1:], solved[1:], strict=True)))
-        self.sizes = np.concatenate((self.sizes, np.fromiter((len(x) // 4 for x in solved.ids), np.int64, len(new))))
+        flat = b"".join(ids)
+        self.ids = np.concatenate((self.ids, np.frombuffer(flat, np.int32)))
+        self.sizes = np.concatenate((self.sizes, np.fromiter((len(x) // 4 for x in ids), np.int64, len(new))))
+        self.scores, self.losses = np.concatenate((self.scores, scores)), np.concatenate((self.losses, losses))
+        self.held += len(flat) + sum(map(getsizeof, new)) + ENTRY_BYTES * len(new)
+
+    def leave(self, kept: int) -> None:
+        """Forget the segments that were learned last and are too long to be met again."""
+        for segment in list(self.index)[kept:]:
+            del self.index[segment]
+            self.lists.pop(segment, None)
+        self.ids, self.sizes = self.ids[: int(self.sizes[:kept].sum())], self.sizes[:kept]
+        self.scores, self.losses = self.scores[:kept], self.losses[:kept]
 
     def options(self, segment: str) -> list[tuple[float, list[int]]]:
         """The n best of a segment; of equal scores the one already chosen comes first."""
         have = self.lists.get(segment)
         if have is None:
             own = self.index[segment]
-            best = np.frombuffer(self.best.ids[own], np.int32).tolist()
+            first = int(self.sizes[:own].sum())
+            best = self.ids[first : first + int(self.sizes[own])].tolist()
             have = n_best(segment, self.vocabulary, self.n)
-            first = next((i for i, o in enumerate(have) if o[1] == best), len(have) - 1)
-            have = [(float(self.best.scores[own]), best), *have[:first], *have[first + 1 :]]
+            same = next((i for i, o in enumerate(have) if o[1] == best), len(have) - 1)
+            have = [(float(self.scores[own]), best), *have[:same], *have[same + 1 :]]
             self.lists[segment] = have
+            if len(segment) <= MEMO_LENGTH:
+                self.held += sum(ENTRY_BYTES + 36 * len(ids) for _, ids in have)
         return have
 
-    def __call__(self, texts: list[str]) -> list[tuple]:
-        """Of each text (ids, scores, edits).
-
-        ``ids`` (bytes of int32) is the best segmentation and ``scores`` has those of the n best.
-        Each edit says what differs in the second best and later ones: (rank, first place, places,
-        ids put there instead).
-        """
+    def __call__(self, texts: list[str]) -> Encoded:
         parts = [segments(t) for t in texts]
-        distinct = set().union(*parts)
-        if len(self.index) + len(distinct) > MEMO_SEGMENTS:
+        found = list(chain.from_iterable(parts))
+        new = set(found).difference(self.index)
+        long = [s for s in new if len(s) > MEMO_LENGTH]
+        self.learn(list(new.difference(long)))
+        kept, held = len(self.index), self.held
+        if long:
+            self.learn(long)
+            self.held = held
+        out = self._finish(found, np.fromiter(map(len, parts), np.int64, len(parts)))
+        if long:
+            self.leave(kept)
+        if self.held > MEMO_BYTES:
             self.forget()
-        self.learn([s for s in distinct if s not in self.index])
-        return [self._finish(p) for p in parts]
-
-    def _finish(self, found: list[str]) -> tuple:
-        own = [self.index[s] for s in found]
-        rows = np.array(own, np.int64)
-        losses = self.best.losses[rows]
-        least = np.argsort(losses, kind="stable")[: self.n - 1] if len(rows) < 64 else self._least(losses)
-        chosen = sorted(i for i in least.tolist() if losses[i] < np.inf)
-        ranked = combine([self.options(found[i]) for i in chosen], self.n)
-        scores = self.best.scores[rows]
-        base = scores.sum() - scores[chosen].sum()
-        starts = np.concatenate(([0], np.cumsum(self.sizes[rows])))
-        edits = []
-        for rank, (_, change) in enumerate(ranked[1:], 2):
-            for k, option in sorted(change.items()):
-                i = chosen[k]
-                edits.append((rank, int(starts[i]), int(self.sizes[own[i]]), self.options(found[i])[option][1]))
-        held = self.best.ids
-        return b"".join([held[i] for i in own]), [float(base + score) for score, _ in ranked], edits
-
-    def _least(self, losses: np.ndarray) -> np.ndarray:
-        """The n - 1 least losses, the first of equals."""
-        limit = np.partition(losses, self.n - 2)[self.n - 2] if self.n > 1 else -np.inf
-        near = np.flatnonzero(losses <= limit)
-        return near[np.argsort(losses[near], kind="stable")][: self.n - 1]
+        return out
+
+    def _finish(self, found: list[str], counts: np.ndarray) -> Encoded:
+        """Put the segments of each text together; ``counts`` says how many are whose."""
+        own = np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
+        text = np.repeat(np.arange(len(counts)), counts)
+        sizes, losses, scores = self.sizes[own], self.losses[own], self.scores[own]
+        ids = self.ids[_spans((np.cumsum(self.sizes) - self.sizes)[own], sizes)]
+        place = np.concatenate(([0], np.cumsum(sizes)))
+        bounds = place[np.concatenate(([0], np.cumsum(counts)))]
+        total = np.bincount(text, scores, len(counts))
+        able = np.flatnonzero(losses < np.inf)
+        able = able[np.lexsort((losses[able], text[able]))]  # of each text, and of equals, the first first
+        begins = np.searchsorted(text[able], np.arange(len(counts) + 1))
+        all_scores, all_edits = [], []
+        for i in range(len(counts)):
+            chosen = sorted(able[begins[i] : min(begins[i] + self.n - 1, begins[i + 1])].tolist())
+            ranked = combine([self.options(found[k]) for k in chosen], self.n)
+            base = total[i] - scores[chosen].sum()
+            edits = []
+            for rank, (_, change) in enumerate(ranked[1:], 2):
+                for k, option in sorted(change.items()):
+                    at = chosen[k]
+                    edits.append((rank, int(place[at] - bounds[i]), int(sizes[at]), self.options(found[at])[option][1]))
+            all_scores.append([float(base + score) for score, _ in ranked])
+            all_edits.append(edits)
+        return Encoded(ids, bounds, all_scores, all_edits)
+
+
+class Decoder:
+    """Bytes of many ids at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.sizes = np.array([len(x) for x in vocabulary.texts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(vocabulary.texts), np.uint8)
+
+    def __call__(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+        """The text that each run of ids stands for; the first piece's leading space was added by the encoder."""
+        sizes = self.sizes[ids]
+        data = self.data[_spans(self.starts[ids], sizes)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(sizes)))[bounds].tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield data[a + 1 : b]
 
 
 def decode(ids, vocabulary: Vocabulary) -> str:
@@ -414,6 +451,17 @@ _ENCODED = "ids array<int>, scores array<double>, edits array<struct<rank:int,at
 _EDIT = pa.struct([("rank", pa.int32()), ("at", pa.int32()), ("removed", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
 
+def _lists(sizes, values: pa.Array) -> pa.ListArray:
+    """Consecutive values as lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _edits(found: list[tuple]) -> pa.StructArray:
+    rank, at, removed, ids = zip(*found, strict=True) if found else ((), (), (), ())
+    flat = _lists([len(x) for x in ids], pa.array([i for x in ids for i in x], pa.int32()))
+    return pa.StructArray.from_arrays([*(pa.array(x, pa.int32()) for x in (rank, at, removed)), flat], fields=[*_EDIT])
+
+
 def encode(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, n: int = N_BEST
 ) -> DataFrame:
@@ -431,44 +479,43 @@ def encode(
         import hashlib
 
         vocabulary = load(model)
-        write = Encoder(vocabulary, n)
+        write, read = Encoder(vocabulary, n), Decoder(vocabulary)
         for batch in batches:
-            at = 0
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK_BYTES):
                 data, offsets = block.data.tobytes(), block.offsets.tolist()
                 out = write([data[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                bounds = np.cumsum([0] + [len(x[0]) // 4 for x in out]).astype(np.int32)
-                flat = np.frombuffer(b"".join([x[0] for x in out]), np.int32)
-                edits = [[dict(zip(("rank", "at", "removed", "ids"), e, strict=True)) for e in x[2]] for x in out]
-                pieces = [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                digests = [hashlib.sha256(decode(x, vocabulary).encode()).hexdigest() for x in pieces]
+                digests = [hashlib.sha256(x).hexdigest() for x in read(out.ids, out.bounds)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, len(out)),
-                        pa.array(np.diff(bounds).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
-                        pa.array([x[1] for x in out], pa.list_(pa.float64())),
-                        pa.array(edits, pa.list_(_EDIT)),
+                        batch.column("doc_id").slice(block.first, len(digests)),
+                        pa.array(np.diff(out.bounds)),
+                        _lists(np.diff(out.bounds), pa.array(out.ids)),
+                        _lists([len(x) for x in out.scores], pa.array([y for x in out.scores for y in x], pa.float64())),
+                        _lists([len(x) for x in out.edits], _edits([e for x in out.edits for e in x])),
                         pa.array(digests, pa.string()),
                     ],
                     ["doc_id", "n_pieces", "ids", "scores", "edits", "decoded_sha256"],
                 )
-                at += len(out)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, {_ENCODED}, decoded_sha256 string")
 
 
-def decode_ids(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """The rows with a ``decoded`` text added; a null list gives a null text, an empty one an empty text."""
+def decode_ids(rows: DataFrame, ids: str = "ids", model: str = MODEL, name: str = "decoded") -> DataFrame:
+    """The rows with their decoded text added under ``name``, which must be free.
+
+    A null list gives a null text, an empty one an empty text; repeated rows each get theirs.
+    """
     names = rows.columns
+    if name.lower() in (c.lower() for c in names):
+        raise ValueError(f"there is a column {name!r} already; choose another name")
 
     def run(batches):
         vocabulary = load(model)
         for batch in batches:
             texts = [None if x is None else decode(x, vocabulary) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, decoded string")
+    return rows.mapInArrow(run, f"{schema}, `{name}` string")
