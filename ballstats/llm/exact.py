@@ -1,4 +1,9 @@
-"""Exact duplicates through an extendible-hash index kept in shared files."""
+"""Exact duplicates through an extendible-hash index kept in shared files.
+
+Copies met in one task are folded, the directory doubles until no bucket holds too many keys, the folds go to
+the tasks that own their buckets, and there the chain of a key tells its texts apart by their bytes.  Rows
+then look their decision up in the bucket that the directory names for them.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ballstats.llm.shared import save
+from ballstats.operators.ranking import free_name
 
-BUCKET_ENTRIES = 1 << 16
+BUCKET_ENTRIES, FOLDS = 1 << 16, 16
 MAX_DEPTH = 20
 
 
@@ -23,19 +29,18 @@ def text_hash(text, bits: int = 64):
     return hashed if bits == 64 else F.shiftleft(F.shiftrightunsigned(hashed, 64 - bits), 64 - bits)
 
 
-def entries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
-    """One row per distinct text: hash, digest, rows and largest id.
+def folds(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_bits: int = 64, parts: int = FOLDS) -> DataFrame:
+    """Hash, text, rows and largest id of equal texts met together; up to ``parts`` rows for one text.
 
-    Grouping by hash and text compares the bytes of texts whose hashes are equal, and folds the
-    copies within each task before anything moves, so a text that fills a third of the table is
-    one row per task.
+    Copies are folded within each task before anything moves, so a text that fills a third of the table
+    reaches its bucket as a few rows.  What is equal in the whole table, only the index decides.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.pmod(F.spark_partition_id(), F.lit(parts)).alias("part"))
     return (
-        docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
-        .groupBy(text_hash(F.col("text"), hash_bits).alias("hash"), "text")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-        .select("hash", F.unhex(F.sha2("text", 256)).alias("digest"), "group_size", "keep_id")
+        rows.groupBy(text_hash(F.col("text"), hash_bits).alias("hash"), "text", "part")
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("largest"))
+        .select("hash", "text", "rows", "largest")
     )
 
 
@@ -73,16 +78,23 @@ def directory(keys: DataFrame, capacity: int = BUCKET_ENTRIES, max_depth: int =
     return save(found.select(slots, first.alias("bucket"), F.col("depth").alias("local_depth"))), depth
 
 
-def build_index(found: DataFrame, capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index files: each owner task holds a range of buckets, in order, colliding keys chained.
+def placed(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """The rows with the bucket that the directory names for their hash; it has at most 2**MAX_DEPTH slots."""
+    own = slots.select("slot", "bucket")
+    return rows.withColumn("slot", _prefix("hash", depth, 64)).join(F.broadcast(own), "slot").drop("slot")
+
+
+def build_index(folded: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """The index files: bucket, hash, chain, digest, group_size and keep_id of each different text.
 
-    ``chain`` numbers the different texts of one hash.
+    Each owner task holds a range of buckets, in order.  Within a bucket the texts of one key are told apart by
+    their bytes, equal ones counted, and different ones chained, numbered by ``chain``.
     """
-    slots, depth = directory(found, capacity, max_depth)
-    placed = found.withColumn("slot", _prefix("hash", depth, 64)).join(slots, "slot").drop("slot")
-    owned = placed.repartitionByRange("bucket", "hash")
+    owned = placed(folded, slots, depth).repartitionByRange("bucket", "hash")
+    entries = owned.groupBy("bucket", "hash", "text").agg(F.sum("rows").alias("group_size"), F.max("largest").alias("keep_id"))
+    entries = entries.select("bucket", "hash", F.unhex(F.sha2("text", 256)).alias("digest"), "group_size", "keep_id")
     chain = Window.partitionBy("bucket", "hash").orderBy("digest")
-    return save(owned.withColumn("chain", F.row_number().over(chain) - 1))
+    return save(entries.withColumn("chain", F.row_number().over(chain) - 1))
 
 
 def exact_duplicates(
@@ -100,14 +112,16 @@ def exact_duplicates(
     repeat an id together with its text are one document: all of them carry the same decision.
     An empty table gives no rows; other columns are not read.
     """
-    index = build_index(save(entries(docs, doc_id, text, hash_bits)), capacity, max_depth)
+    folded = save(folds(docs, doc_id, text, hash_bits))
+    slots, depth = directory(folded.select("hash").distinct(), capacity, max_depth)
+    index = build_index(folded, slots, depth)
     body = F.coalesce(F.col(text), F.lit(""))
     probes = docs.select(
         F.col(doc_id).alias("doc_id"),
         text_hash(body, hash_bits).alias("hash"),
         F.unhex(F.sha2(body, 256)).alias("digest"),
     )
-    return probes.join(index, ["hash", "digest"]).select(
+    return placed(probes, slots, depth).join(index, ["bucket", "hash", "digest"]).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -119,11 +133,16 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with their columns; a row repeated with its id stays as often as it came."""
+    """The rows that stay, with their columns; a row repeated with its id stays as often as it came.
+
+    Null and empty texts are equal, and the row with the largest id stays.  A null id stays only if no other
+    row has the text.  An empty table stays empty.  Extra columns are handed on, whatever their names.
+    """
+    one, two = (free_name(docs.columns, x) for x in ("_keep_id", "_keep_digest"))
     kept = exact_duplicates(docs, doc_id, text).filter("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")
+        F.col("doc_id").alias(one), F.unhex("text_sha256").alias(two)
     )
-    same = F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (
-        F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)) == F.col("_keep_digest")
+    same = F.col(doc_id).eqNullSafe(F.col(one)) & (
+        F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)) == F.col(two)
     )
     return docs.join(kept, same, "left_semi")
