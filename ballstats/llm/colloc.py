@@ -8,7 +8,7 @@ count the sum of the leaves below.  That tree is never built whole:
 2. Prefixes frequent enough are grouped: consecutive ranges of their hashes, each with as many
    suffixes as memory is meant for.  A prefix with more than that by itself is divided by the rest of its suffixes.
 3. Every word where a frequent prefix begins sends its suffix, cut at five words or where the next
-   two words are no frequent prefix, to its group.  Equal suffixes are folded before they move.
+   two words are no frequent prefix, to its group.  A task folds equal suffixes and sends a group its own as one row.
 4. Each group sorts its suffixes, which lays out its subtrees, and reads every node's count from the
    leaves in its range.
 
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballstats.llm.shared import bytes_of, save
-from ballstats.llm.tokens import LOWER, blocks, words
+from ballstats.llm.tokens import LOWER, blocks, folded, words
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 UNKNOWN = "und"
-SEGMENT = (1 << 21) - 64  # word occurrences folded at a time; a word's number fits 21 bits
+SEGMENT = 1 << 20  # word occurrences taken at a time; a word's number must fit 21 bits
 SUFFIXES = 1 << 19  # suffixes that a group may hold
 FILTER_BITS, PAGE_BITS = 1 << 26, 1 << 19
 RANGES = 1 << 12
@@ -66,7 +66,7 @@ def _segments(batches, limit: int):
     waiting: list[tuple] = []
     held = 0
     for batch in batches:
-        langs = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.int64)
+        langs = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.int32)
         for block in blocks(batch.column("text")):
             data = LOWER[block.data]
             found = words(data, block.offsets, INSIDE)
@@ -76,7 +76,7 @@ def _segments(batches, limit: int):
             joined = np.zeros(len(found.starts), bool)  # with the word before
             joined[1:] = breaks[found.starts[1:]] == breaks[found.starts[:-1]]
             joined[found.rows[:-1][found.rows[:-1] < len(joined)]] = False
-            sizes = found.ends - found.starts
+            sizes = (found.ends - found.starts).astype(np.int32)
             lang = np.repeat(langs[block.first : block.first + len(block.offsets) - 1], np.diff(found.rows))
             letters = data[INSIDE[data]]  # every byte of a word, in order, belongs to one of the words
             waiting.append((letters, sizes, lang, joined))
@@ -86,19 +86,18 @@ def _segments(batches, limit: int):
                 waiting, held = [], 0
     if waiting:
         yield from _cut(names, waiting, limit)
-    pa.default_memory_pool().release_unused()
 
 
 def _cut(names, waiting, limit: int):
     letters, sizes, lang, joined = (np.concatenate(x) for x in zip(*waiting, strict=True))
-    at = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     for a in range(0, len(sizes), limit):
         b = min(a + limit, len(sizes))
         end = min(b + LONGEST - 1, len(sizes))
         offsets = at[a : end + 1] - at[a]
         column = pa.Array.from_buffers(pa.large_binary(), end - a, [None, pa.py_buffer(offsets), pa.py_buffer(letters[at[a] : at[end]])])
         coded = column.dictionary_encode()
-        ids = coded.indices.to_numpy().astype(np.int64) + 1
+        ids = coded.indices.to_numpy() + np.int32(1)
         yield list(names), Segment(coded.dictionary, ids, lang[a:end], joined[a:end], b - a)
 
 
@@ -106,7 +105,7 @@ def _unique_words(names: list[str], part: Segment) -> tuple[np.ndarray, np.ndarr
     """Different (language, word): languages, words, hashes, and which of them each place has."""
     from xxhash import xxh64_intdigest
 
-    pair, place = np.unique(part.langs << 32 | part.ids, return_inverse=True)
+    pair, place = np.unique(part.langs.astype(np.int64) << 32 | part.ids, return_inverse=True)
     langs, ids = pair >> 32, pair & 0xFFFFFFFF
     tags = [n.encode() + b"\t" for n in names]
     spelled = part.vocabulary.take(pa.array(ids - 1)).to_pylist()
@@ -122,15 +121,9 @@ def _count_words(batches, limit: int):
     for names, part in _segments(batches, limit):
         langs, ids, hashes, place = _unique_words(names, part)
         n = np.bincount(place[: part.own], minlength=len(ids))
-        yield pa.RecordBatch.from_arrays(
-            [
-                _strings(names, langs),
-                part.vocabulary.take(pa.array(ids - 1)).cast(pa.binary()),
-                pa.array(hashes.view(np.int64)),
-                pa.array(n),
-            ],
-            ["lang", "word", "hash", "n"],
-        ).filter(pa.array(n > 0))
+        spelled = part.vocabulary.take(pa.array(ids - 1)).cast(pa.binary())
+        columns = [_strings(names, langs), spelled, pa.array(hashes.view(np.int64)), pa.array(n)]
+        yield pa.table(columns, ["lang", "word", "hash", "n"]).filter(pa.array(n > 0))
 
 
 def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -151,7 +144,7 @@ def _count_pairs(batches, frequent: np.ndarray, limit: int):
     for names, part in _segments(batches, limit):
         _, pair, good = _pairs(names, part, frequent)
         hashes, n = np.unique(pair[: part.own][good[: part.own]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
+        yield pa.table([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
 
 
 def _send(batches, frequent: np.ndarray, prefixes: np.ndarray, first: np.ndarray, split: np.ndarray, limit: int):
@@ -167,7 +160,7 @@ def _send(batches, frequent: np.ndarray, prefixes: np.ndarray, first: np.ndarray
             link = start + k - 1
             going &= link < len(good)
             going[going] = good[link[going]]
-            word = np.zeros(len(start), np.int64)
+            word = np.zeros(len(start), np.int32)
             word[going] = part.ids[start[going] + k]
             if k > 1:
                 rest[going] = _mix(rest[going] + own[start[going] + k])
@@ -184,10 +177,24 @@ def _send(batches, frequent: np.ndarray, prefixes: np.ndarray, first: np.ndarray
         group = first[bucket] + (rest[at] % split[bucket].astype(np.uint64)).astype(np.int64)
         spelled = [part.vocabulary.take(pa.array(c[at] - 1, mask=c[at] == 0)) for c in columns]
         phrase = pc.binary_join_element_wise(*spelled, pa.scalar(b" ", pa.large_binary()), null_handling="skip")
-        rows = pa.table([pa.array(group), _strings(names, part.langs[start[at]]), phrase, pa.array(n)], ["group", "lang", "phrase", "n"])
-        for a in range(0, len(at), 1 << 17):
-            piece = rows.slice(a, 1 << 17)
-            yield from piece.set_column(2, "phrase", piece["phrase"].cast(pa.binary())).combine_chunks().to_batches()
+        columns = [pa.array(group), _strings(names, part.langs[start[at]]), phrase.cast(pa.binary()), pa.array(n)]
+        yield pa.table(columns, ["group", "lang", "phrase", "n"])
+
+
+def _packed(batches, divided: np.ndarray):
+    """Rows of (group, lang, phrase, n) as one row a group, of lists; ``whole`` says that the group is not a divided prefix's."""
+    for batch in batches:
+        order = np.argsort(batch.column("group").to_numpy(), kind="stable")
+        batch = batch.take(pa.array(order))
+        group = batch.column("group").to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        offsets = pa.array(np.append(heads, len(group)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("lang", "phrase", "n")]
+        columns = [pa.array(group[heads]), pa.array(~divided[group[heads]]), *lists]
+        yield pa.RecordBatch.from_arrays(columns, ["group", "whole", "lang", "phrase", "n"])
+
+
+_PACKED = "group bigint, whole boolean, lang array<string>, phrase array<binary>, n array<bigint>"
 
 
 def subtrees(table: pa.Table, least: int, whole: bool) -> pa.Table:
@@ -275,14 +282,14 @@ def phrase_counts(
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), bytes_of(F.col(text)).alias("text"))
 
     def count_words(batches):
-        yield from _count_words(batches, segment)
+        yield from folded(_count_words(batches, segment), ["lang", "word", "hash"])
 
     single = rows.mapInArrow(count_words, "lang string, word binary, hash bigint, n bigint")
     single = save(single.groupBy("lang", "word", "hash").agg(F.sum("n").alias("n")))
     frequent = _pages(single.filter(F.col("n") >= least).select("hash"), bits)
 
     def count_pairs(batches):
-        yield from _count_pairs(batches, frequent, segment)
+        yield from folded(_count_pairs(batches, frequent, segment), ["hash"])
 
     pairs = rows.mapInArrow(count_pairs, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     pairs = save(pairs.filter(F.col("n") >= least))
@@ -297,14 +304,25 @@ def phrase_counts(
         divided[first[i] : first[i] + split[i]] = True
 
     def send(batches):
-        yield from _send(batches, frequent, prefixes, first, split, segment)
-
-    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return subtrees(table, least, not divided[key[0].as_py()])
-
-    leaves = rows.mapInArrow(send, "group bigint, lang string, phrase binary, n bigint")
-    leaves = leaves.groupBy("group", "lang", "phrase").agg(F.sum("n").alias("n"))
-    nodes = leaves.groupBy("group").applyInArrow(build, "lang string, phrase binary, n bigint")
+        leaves = folded(_send(batches, frequent, prefixes, first, split, segment), ["group", "lang", "phrase"])
+        yield from _packed(leaves, divided)
+
+    def build(table: pa.Table) -> pa.Table:
+        lists = {c: pa.chunked_array([x.flatten() for x in table[c].chunks]) for c in ("lang", "phrase", "n")}
+        return subtrees(pa.table(lists), least, True)
+
+    def build_part(table: pa.Table) -> pa.Table:
+        return subtrees(table, least, False)
+
+    kind = "lang string, phrase binary, n bigint"
+    leaves = rows.mapInArrow(send, _PACKED)
+    if divided.any():  # the same suffix may come from every task; such copies are folded on their way
+        leaves = save(leaves)
+        single_leaves = leaves.filter("not whole").select("group", F.inline(F.arrays_zip("lang", "phrase", "n")))
+        parts = single_leaves.groupBy("group", "lang", "phrase").agg(F.sum("n").alias("n")).groupBy("group")
+        nodes = parts.applyInArrow(build_part, kind).union(leaves.filter("whole").groupBy("group").applyInArrow(build, kind))
+    else:
+        nodes = leaves.groupBy("group").applyInArrow(build, kind)
     phrases = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     phrases = save(phrases.select("lang", F.col("phrase").cast("string").alias("phrase"), "a"))
     return single.select("lang", F.col("word").cast("string").alias("word"), "n"), phrases

@@ -5,7 +5,7 @@ others.  The target's whole multiples of the source take all its documents that
 left is a subset-sum problem over the documents' lengths, solved on a histogram with one row
 for each (source, length): an even share of every length first, then documents of seeded lengths
 until a bounded budget is left, and that by a bounded knapsack over the lengths still to be had.
-The histogram says how many documents of a length are taken once more; which, says a seeded order.
+The histogram says how many documents of a length are taken besides; which, says a seeded order.
 """
 
 from __future__ import annotations
@@ -79,10 +79,13 @@ def _order(sizes: np.ndarray, seed: int) -> np.ndarray:
     return np.lexsort((sizes, x ^ (x >> np.uint64(29))))
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, target: int, budget: int = BUDGET, seed: int = SEED) -> tuple[int, np.ndarray]:
-    """Times that all documents are taken, and how many of each size once more, for ``target`` words.
+def fit(
+    sizes: np.ndarray, counts: np.ndarray, target: int, budget: int = BUDGET, seed: int = SEED, repeats: int = REPEATS
+) -> tuple[int, np.ndarray]:
+    """Times that all documents are taken, and how many of each size besides, for ``target`` words.
 
-    ``sizes`` are different and positive.  Python's whole numbers carry the sums.
+    ``sizes`` are different and positive.  Documents are taken once more at most; only where that misses the
+    target, oftener, up to ``repeats`` times in all.  Python's whole numbers carry the sums.
     """
     total = sum(int(s) * int(c) for s, c in zip(sizes, counts, strict=True))
     extra = np.zeros(len(sizes), np.int64)
@@ -109,7 +112,10 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: int, budget: int = BUDGET
         extra[i] += n
         left -= n * int(sizes[i])
     if left <= budget:
-        return whole, extra + knapsack(sizes, counts - extra, left)
+        best = knapsack(sizes, counts - extra, left)
+        if int((best * sizes).sum()) != left and repeats - whole > 1:
+            best = knapsack(sizes, counts * (repeats - whole) - extra, left)
+        return whole, extra + best
     # only documents of more than left - spare words remain: one, or none
     open_ = np.flatnonzero(extra < counts)
     if len(open_):
@@ -171,7 +177,7 @@ def mix(
     def plan(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("size", ignore_index=True)
         has = table["size"].to_numpy() > 0
-        whole, extra = fit(table["size"].to_numpy()[has], table["n"].to_numpy()[has], math.floor(table["target"][0] + 0.5), budget, seed)
+        whole, extra = fit(table["size"].to_numpy()[has], table["n"].to_numpy()[has], math.floor(table["target"][0] + 0.5), budget, seed, repeats)
         table["whole"], table["extra"] = np.where(has, whole, 0), 0
         table.loc[has, "extra"] = extra
         return table
@@ -183,8 +189,9 @@ def mix(
     firsts = chosen.groupBy("source", "size").agg(F.min("_at").alias("_first"))
     planned = planned.withColumnsRenamed({"source": "_source", "size": "_size"})
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    planned = firsts.join(planned, same).select("_source", "_size", "source_size", "target", "whole", "extra", "_first")
-    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("_at") < F.col("_first") + F.col("extra")).cast("bigint")).otherwise(0)
+    planned = firsts.join(planned, same).select("_source", "_size", "n", "source_size", "target", "whole", "extra", "_first")
+    more = F.expr("extra div n") + (F.col("_at") - F.col("_first") < F.expr("extra % n")).cast("bigint")
+    copies = F.when(F.col("size") > 0, F.col("whole") + more).otherwise(0)
     return (
         chosen.join(planned, same)
         .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))

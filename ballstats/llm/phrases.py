@@ -1,5 +1,8 @@
 """Substring deduplication: recurring phrases, confirmed and then located by Aho-Corasick automata.
 
+Hashes only choose phrases and shards; what is equal is told by keyed 128-bit digests of the words, and
+windows shared by different stretches by the words themselves.
+
 A phrase is the run of ``gram`` words with the least hash in a window of ``window`` words, so equal
 windows choose equal phrases.  Consecutive windows that choose the same phrase form its stretch:
 
@@ -24,14 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballstats.llm.shared import bytes_of, row_key, save
-from ballstats.llm.tokens import SPACES, blocks, sequence_hashes, window_minima, word_hashes, words
+from ballstats.llm.tokens import SPACES, blocks, sequence_hashes, spaced, window_minima, word_hashes, words
 
 WINDOW, GRAM = 50, 12
 SHARD_STRETCHES, AUTOMATON_WINDOWS = 4000, 4000
 
 
+def _digest(words_: bytes) -> bytes:
+    """Stands for the words themselves where they are compared."""
+    return hashlib.blake2b(words_, digest_size=16, key=b"phrases").digest()
+
+
 def _stretches(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int):
-    """Phrase hash, hash of all words, first and last window of each stretch."""
+    """Phrase hash, first and last window of each stretch."""
     starts = np.arange(max(0, len(hashes) - gram + 1))
     grams = sequence_hashes(hashes, starts, starts + gram)
     least = window_minima(grams, window - gram + 1)
@@ -41,12 +49,12 @@ def _stretches(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     at = np.flatnonzero(inside)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]])
     first = at[new]
     last = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1])
-    return grams[least[first]].view(np.int64), sequence_hashes(hashes, first, last + window).view(np.int64), first, last
+    return grams[least[first]].view(np.int64), first, last
 
 
 def _scan(batches, window: int, gram: int):
@@ -55,19 +63,21 @@ def _scan(batches, window: int, gram: int):
         for block in blocks(batch.column("text")):
             found = words(block.data, block.offsets, SPACES)
             hashes, bounds = word_hashes(block.data, found), found.rows
-            phrase, content, first, last = _stretches(hashes, bounds, window, gram)
+            phrase, first, last = _stretches(hashes, bounds, window, gram)
             counts = np.diff(bounds)
             row = np.searchsorted(bounds, first, "right") - 1
-            text = block.data.tobytes()
-            at = block.offsets.tolist()
-            digests = [hashlib.sha256(b" ".join(text[a:b].split())).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+            text, starts, ends = spaced(block.data, found)
+            text, begin, close = text.tobytes(), [*starts.tolist(), len(text)], [0, *ends.tolist()]
+            content = [_digest(text[begin[a] : close[b + window]]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            edges = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+            digests = [hashlib.sha256(text[begin[a] : close[b]]).digest() for a, b in edges]
             docs = pa.array(block.first + np.arange(len(counts)))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c).take(docs) for c in ("rid", "doc_id", "key")),
                     pa.array(counts.astype(np.int64)),
                     pa.array(digests, pa.binary()),
-                    *(pa.nulls(len(counts), pa.int64()) for _ in range(4)),
+                    *(pa.nulls(len(counts), kind) for kind in (pa.int64(), pa.binary(), pa.int64(), pa.int64())),
                 ],
                 _SCANNED,
             )
@@ -80,7 +90,7 @@ def _scan(batches, window: int, gram: int):
                     pa.nulls(len(row), pa.int64()),
                     pa.nulls(len(row), pa.binary()),
                     pa.array(phrase),
-                    pa.array(content),
+                    pa.array(content, pa.binary()),
                     pa.array(first - bounds[row]),
                     pa.array(last - bounds[row]),
                 ],
@@ -92,24 +102,22 @@ _SCANNED = ["rid", "doc_id", "key", "n_words", "digest", "phrase", "content", "f
 
 
 def _contexts(batches, window: int):
-    """The words of the wanted stretches, and the hashes of their windows."""
+    """The words of the wanted stretches, and the digests of their windows."""
     for batch in batches:
         wanted = batch.column("stretches").to_pylist()
         for block in blocks(batch.column("text")):
             found = words(block.data, block.offsets, SPACES)
-            hashes, text = word_hashes(block.data, found), block.data.tobytes()
-            out, picks, counts = [], [], []
+            text, begin, close = spaced(block.data, found)
+            text, begin, close = text.tobytes(), begin.tolist(), close.tolist()
+            out, marks, counts = [], [], []
             for row, base in enumerate(found.rows[:-1].tolist()):
                 for x in wanted[block.first + row]:
                     a, b = base + x["first"], base + x["last"]
-                    spans = zip(found.starts[a : b + window].tolist(), found.ends[a : b + window].tolist(), strict=True)
-                    out.append((block.first + row, x["phrase"], x["first"], b" ".join([text[s:e] for s, e in spans]).decode()))
-                    picks.append(np.arange(a, b + 1))
+                    out.append((block.first + row, x["phrase"], x["first"], text[begin[a] : close[b + window - 1]].decode()))
+                    marks += [_digest(text[begin[p] : close[p + window - 1]]) for p in range(a, b + 1)]
                     counts.append(b + 1 - a)
             if not out:
                 continue
-            starts = np.concatenate(picks)
-            marks = sequence_hashes(hashes, starts, starts + window).view(np.int64)
             rows, phrase, first, context = zip(*out, strict=True)
             own = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -119,7 +127,7 @@ def _contexts(batches, window: int):
                     pa.array(phrase, pa.int64()),
                     pa.array(first, pa.int64()),
                     pa.array(context, pa.string()),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(marks)),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(marks, pa.binary())),
                 ],
                 ["rid", "doc_id", "phrase", "first", "context", "windows"],
             )
@@ -308,7 +316,7 @@ def repeated_spans(
         rows.mapInArrow(
             scan,
             f"rid bigint, doc_id {kind}, key binary, n_words bigint, digest binary, "
-            "phrase bigint, content bigint, first bigint, last bigint",
+            "phrase bigint, content binary, first bigint, last bigint",
         )
     )
     whole = scanned.filter("n_words is not null").select("rid", "doc_id", "key", "n_words", "digest")
@@ -350,7 +358,7 @@ def repeated_spans(
         texts.join(wanted, "key")
         .dropDuplicates(["key"])  # rows that repeat id and text are read once
         .select("rid", "doc_id", "text", "stretches")
-        .mapInArrow(read, f"rid bigint, doc_id {kind}, phrase bigint, first bigint, context string, windows array<bigint>")
+        .mapInArrow(read, f"rid bigint, doc_id {kind}, phrase bigint, first bigint, context string, windows array<binary>")
     )
     located = save(_located(contexts, window, shard_stretches))
     also = located.join(copies, located["rid"] == copies["first_rid"]).select(F.col("copy").alias("rid"), "start", "stop")

@@ -21,28 +21,17 @@ from pyspark.sql import functions as F
 
 from ballstats.llm.intern import intern
 from ballstats.llm.shared import bytes_of, save
-from ballstats.llm.tokens import ALNUM, LOWER, blocks, words
+from ballstats.llm.tokens import ALNUM, LOWER, blocks, spaced, words
 from ballstats.operators.ranking import number_rows
 
 BUCKETS, LONGEST = 10_000, 1
 SEED, LEAST_WORDS, SHARE = 2024, 20, (10, 100)
 
 
-def _joined(data: np.ndarray, found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words, each with one space behind, and their new starts and ends."""
-    sizes = found.ends - found.starts
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    out = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
-    inside = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    out[inside] = data[np.arange(len(inside)) + np.repeat(found.starts - (np.cumsum(sizes) - sizes), sizes)]
-    return out, starts, ends
-
-
 def _slots(data: np.ndarray, offsets: np.ndarray, longest: int, buckets: int):
     """Of one block: each occurrence's row and slot, each slot's bucket and count, each row's words."""
     found = words(data, offsets, ALNUM)
-    text, starts, ends = _joined(data, found)
+    text, starts, ends = spaced(data, found)
     row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(found.rows))
     begin, close, row = [], [], []
     for n in range(1, longest + 1):
