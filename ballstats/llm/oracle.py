@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ballstats.llm.licenses import LICENSES, SPELLINGS
+import hashlib
+import re
+
+from ballstats.llm.licenses import LICENSES, SPELLINGS, TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,9 +66,9 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 URL_RULES = rf"""
 WITH parts AS (
-    SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}'), '') AS host,
-        coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path
-    FROM pages
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), '{UPPER}', '{LOWER}') AS host,
+        regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1, 's') AS path
+    FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
 ), rules(rule, verdict, host, path) AS (
     VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
         ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')
@@ -94,11 +97,22 @@ def _canonical(text: str) -> str:
     return f"trim(replace({out}, '  ', ' '))"
 
 
+def canonical_text(text: str) -> str:
+    """The canonical form by plain string work."""
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    lines = [x for x in text.split("\n") if not x.lstrip(" \t").startswith(("copyright", "(c)", "©"))]
+    found = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "\n".join(lines))
+    return " ".join(SPELLINGS.get(w, w) for w in found)
+
+
 def _licenses() -> str:
-    known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in LICENSES.items() for text in texts)
+    notices = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in LICENSES.items() for text in texts)
+    digests = {(name, hashlib.sha256(canonical_text(text).encode()).hexdigest()) for name, texts in TEXTS.items() for text in texts}
+    whole = ", ".join(f"({_quoted(name)}, '{digest}')" for name, digest in sorted(digests))
     return f"""
 WITH known AS (
-    SELECT DISTINCT license_id, sha256({_canonical("text")}) AS digest FROM (VALUES {known}) v(license_id, text)
+    SELECT license_id, sha256({_canonical("text")}) AS digest FROM (VALUES {notices}) v(license_id, text)
+    UNION SELECT license_id, digest FROM (VALUES {whole}) t(license_id, digest)
 ), d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), lines AS (
@@ -115,10 +129,92 @@ FROM whole LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN notices USING
 """
 
 
+RESAMPLING = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), ours AS (
+    SELECT r, unnest(w) AS word FROM d
+), theirs AS (
+    SELECT unnest(w) AS word FROM b
+), spelled AS (
+    SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM ours UNION SELECT word FROM theirs)
+), bits AS (
+    SELECT word, list_transform(range(4 * length(h)), lambda i: CASE WHEN i % 8 = 0 THEN (
+        16 * (strpos('0123456789ABCDEF', substr(h, (i // 4 + 1)::INT, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, (i // 4 + 2)::INT, 1)) - 1
+    ) ELSE 0 END::UBIGINT) AS entering
+    FROM spelled
+), buckets AS (
+    SELECT word, (xor(list_reduce(list_prepend(4294967295::UBIGINT, entering),
+        lambda c, e: xor(xor(c, e) >> 1, 3988292384::UBIGINT * (xor(c, e) & 1::UBIGINT))), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket
+    FROM bits
+), s AS (
+    SELECT bucket, count(*) AS s FROM ours JOIN buckets USING (word) GROUP BY bucket
+), t AS (
+    SELECT bucket, count(*) AS t FROM theirs JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT sum(s) FROM s) + 10000.0::DOUBLE)
+        / ((s + 1.0::DOUBLE) * (coalesce((SELECT sum(t) FROM t), 0) + 10000.0::DOUBLE))))::BIGINT AS gain
+    FROM s LEFT JOIN t USING (bucket)
+), weights AS (
+    SELECT r, sum(gain)::BIGINT AS weight FROM ours JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY r
+), noise AS (
+    SELECT r, list_reduce(list_transform(range(8), lambda i: (strpos('0123456789abcdef', substr(h, (i + 1)::INT, 1)) - 1)::BIGINT),
+        lambda a, b: 16 * a + b) AS h
+    FROM (SELECT r, sha256('2024:' || coalesce(doc_id::VARCHAR, '')) AS h FROM d)
+), scored AS (
+    SELECT r, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+    FROM d LEFT JOIN weights USING (r) JOIN noise USING (r)
+), able AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT r, rank FROM able WHERE rank <= 10 * n // 100) USING (r)
+"""
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), grams AS (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 6) t(m) WHERE len(w) >= m)
+), f AS (
+    SELECT lang, phrase, m, count(*) AS a FROM grams GROUP BY lang, phrase, m
+), total AS (
+    SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang
+), found AS (
+    SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 100
+), cuts AS (
+    SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS left_part, array_to_string(w[k + 1:], ' ') AS right_part
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM found)
+), rated AS (
+    SELECT c.lang, c.phrase, c.m, c.a, k, x.a AS l, y.a AS r, n,
+        (1000::HUGEINT * c.a * n::HUGEINT) // (x.a::HUGEINT * y.a) AS score
+    FROM cuts c JOIN f x ON c.lang = x.lang AND left_part = x.phrase JOIN f y ON c.lang = y.lang AND right_part = y.phrase
+        JOIN total t ON c.lang = t.lang
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM rated
+), kept AS (
+    SELECT * FROM best b WHERE cut = 1 AND NOT EXISTS (
+        SELECT 1 FROM found o WHERE o.lang = b.lang AND o.m > b.m AND o.a >= b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 ORACLE = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op5_decontamination": DECONTAMINATION,
     "op7_url_rules": URL_RULES,
     "op9_exact_dedup": EXACT_DEDUP,
     "op10_licenses": _licenses(),
+    "op12_resampling": RESAMPLING,
+    "op13_collocations": COLLOCATIONS,
 }

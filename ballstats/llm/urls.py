@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 class Rule(NamedTuple):
-    """A pattern over ``host/path`` and the literal tokens that any match of it contains."""
+    """A pattern over ``host/path`` and the literal tokens that any match of it contains; without any it runs on every URL."""
 
     name: str
     verdict: str
@@ -53,9 +53,9 @@ def url_path(url: Column) -> Column:
 
 
 def rule_index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Each rule under that one of its tokens which the fewest different URLs contain."""
+    """Each rule under that one of its tokens which the fewest different URLs contain, or under the empty one if it has none."""
     spark = urls.sparkSession
-    rows = [(i, r.name, r.verdict, r.pattern, list(r.tokens)) for i, r in enumerate(rules)]
+    rows = [(i, r.name, r.verdict, r.pattern, list(r.tokens) or [""]) for i, r in enumerate(rules)]
     book = spark.createDataFrame(rows, "rule_no int, rule string, rule_verdict string, pattern string, tokens array<string>")
     wanted = book.select("rule_no", "rule", "rule_verdict", "pattern", F.explode("tokens").alias("token"))
     named = F.col("token").isin([t for r in rules for t in r.tokens])
@@ -76,19 +76,22 @@ def judge_urls(
 
     Rules are read once per different URL: its tokens fetch candidates from the index, and only
     candidates run their regular expression.  Of rules of one length the first in name order
-    wins.  Without a rule the verdict is ``default``.  A null URL or one without ``://`` has an
+    wins.  A rule without tokens is a candidate of every URL.  Without a rule the verdict is ``default``.  A null URL or one without ``://`` has an
     empty host and path and fits nothing.  Repeated rows each get their row; an empty table
     gives none.  Only key and URL are read.
     """
     rows = pages.select(F.col(key).alias(key), F.col(url).alias("_url"))
     target = F.concat(F.col("host"), F.lit("\0"), F.col("path"))
+    tokens = F.regexp_extract_all(target, F.lit("([A-Za-z0-9]+)"))
+    if not all(r.tokens for r in rules):
+        tokens = F.concat(tokens, F.array(F.lit("")))
     urls = (
         rows.select("_url")
         .filter(F.col("_url").isNotNull())
         .distinct()
         .select("_url", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"))
         .filter(F.col("host") != "")
-        .select("_url", target.alias("target"), F.regexp_extract_all(target, F.lit("([A-Za-z0-9]+)")).alias("tokens"))
+        .select("_url", target.alias("target"), tokens.alias("tokens"))
     )
     index = rule_index(urls, rules)
     candidates = urls.select("_url", "target", F.explode(F.array_distinct("tokens")).alias("token")).join(index, "token")
