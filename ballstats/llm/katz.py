@@ -3,7 +3,8 @@
 P(w | v) = d(c) c / C(v) if the pair occurs c > 0 times in training, else alpha(v) P(w); P(w) is the same
 on words, and what its discounts leave is the probability of an unknown word.
 
-Words are 64-bit hashes.  A scan cuts the table into chunks of documents, folds each chunk's
+Words are 64-bit hashes.  All different words are met once before, and those that share a hash get
+numbers of their own, so a number stands for one word.  A scan cuts the table into chunks of documents, folds each chunk's
 tokens to its different pairs, and sends each pair, with the documents it stands in, to the task that
 owns its first word.  That task sees all counts of its words, so it returns, besides the model's
 tables, each document's sum over seen pairs.  The discounts are known only at the end, so sums keep
@@ -14,6 +15,7 @@ on disk at a time.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from typing import NamedTuple
 
@@ -24,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballstats.llm.shared import bytes_of, row_key, save
-from ballstats.llm.tokens import LOWER, SPACES, blocks, word_hashes, words
+from ballstats.llm.tokens import LOWER, SPACES, Words, blocks, other_hashes, word_hashes, words
 
 CUTOFF = 5
 TAIL = 0.01  # counts above the cutoff lose this much, so that any context has something left
-CHUNK_TOKENS = 4_000_000
-SLICES, PARTS = 3, 12
+CHUNK_TOKENS = 3_000_000
+SLICES, PARTS, OWNER_BYTES = 3, 12, 32 << 20
 HOT_SAMPLE, HOT_SHARE = 2000, 1 / 64
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 _BLOBS = "kind string, chunk bigint, a binary, b binary, c binary, d binary"
@@ -76,10 +78,114 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Apart(NamedTuple):
+    """Hashes that stand for several words, and the numbers of those words that do not keep theirs."""
+
+    shared: np.ndarray
+    numbers: dict[bytes, int]
+
+
+NO_WORDS = Apart(np.zeros(0, np.uint64), {})
+
+
+def _different_words(block) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A block's different words, their hashes, and hashes of another kind."""
+    data = LOWER[block.data]
+    found = words(data, block.offsets, SPACES)
+    ends = np.cumsum(found.ends - found.starts)
+    buffers = [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(data[SPACES[data]])]
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(ends), buffers).unique()
+    at = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1)
+    own = Words(at[:-1], at[1:], at)
+    letters = np.frombuffer(spelled.buffers()[2] or b"", np.uint8)
+    return spelled, word_hashes(letters, own), other_hashes(letters, own)
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    heads = _runs(one, two)
+    return one[heads], two[heads]
+
+
+def _marks(batches, parts: int):
+    """Both hashes of a task's different words, sent to the owner of the first: (part, first, second)."""
+
+    def send():
+        one, two = _distinct(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+        part = (_mix(one) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, one[order[a:b]].tobytes(), two[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["part", "a", "b"])
+
+    kept, held = [], 0
+    for batch in batches:
+        for block in blocks(batch.column("text")):
+            one, two = _different_words(block)[1:]
+            kept.append((one, two))
+            held += len(one)
+            if held > 1 << 20:
+                kept = [_distinct(*(np.concatenate(x) for x in zip(*kept, strict=True)))]
+                held = len(kept[0][0])
+                if held > 1 << 19:
+                    yield send()
+                    kept, held = [], 0
+    if held:
+        yield send()
+    pa.default_memory_pool().release_unused()
+
+
+def _clashes(table: pa.Table) -> pa.Table:
+    """First hashes that stand with several second ones, or for the beginning or the end."""
+    one, two = (np.concatenate([np.frombuffer(x, np.uint64) for x in table[c].to_pylist()]) for c in ("a", "b"))
+    one, _ = _distinct(one, two)
+    several = np.concatenate((one[1:][one[1:] == one[:-1]], one[np.isin(one, [BEGIN, END])]))
+    return pa.table([pa.array(np.unique(several).view(np.int64))], ["hash"])
+
+
+def words_apart(rows: DataFrame, parts: int) -> Apart:
+    """The words whose hash is not theirs alone.
+
+    All different words are met by two independent hashes of 64 bits.  Where one value of the first comes with
+    several of the second, the words are read again and told apart by their letters.  Only those reach
+    the driver: in a table of a billion different words that is one pair in forty tables.
+    """
+
+    def run(batches):
+        yield from _marks(batches, parts)
+
+    marks = [int(x.view(np.int64)) for x in (BEGIN, END)]
+    sent = rows.select("text").mapInArrow(run, "part int, a binary, b binary")
+    shared = [r.hash for r in save(sent.groupBy("part").applyInArrow(_clashes, "hash bigint")).collect()]
+    if not shared:
+        return NO_WORDS
+    wanted = np.array(shared, np.int64).view(np.uint64)
+
+    def spell(batches):
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                spelled, hashes, _ = _different_words(block)
+                own = np.flatnonzero(np.isin(hashes, wanted))
+                columns = [pa.array(hashes[own].view(np.int64)), spelled.take(pa.array(own)).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "word"])
+
+    found: dict[int, list[bytes]] = {}
+    for h, word in rows.select("text").mapInArrow(spell, "hash bigint, word binary").distinct().collect():
+        found.setdefault(h, []).append(bytes(word))
+    move = sorted(w for h, own in found.items() for w in sorted(own)[h not in marks :])
+    numbers = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8, key=b"apart").digest(), "little") for w in move}
+    return Apart(wanted, numbers)
+
+
+def _pairs(data: np.ndarray, offsets: np.ndarray, apart: Apart = NO_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row's words and its end: the word before (or the beginning), the word, the row."""
     found = words(data, offsets, SPACES)
     hashes, counts = word_hashes(data, found), np.diff(found.rows)
+    if len(apart.shared):
+        for i in np.flatnonzero(np.isin(hashes, apart.shared)):
+            hashes[i] = apart.numbers.get(data[found.starts[i] : found.ends[i]].tobytes(), hashes[i])
     rows = np.repeat(np.arange(len(counts)), counts + 1)
     lasts = np.cumsum(counts + 1) - 1
     token = np.empty(len(rows), np.uint64)
@@ -144,7 +250,7 @@ def _emit(chunk: int, before, token, doc, keys: list[bytes], train: list[bool],
 _SENT = "part int, kind string, chunk bigint, a binary, b binary, c binary, d binary, heads bigint, docs bigint"
 
 
-def _scan(batches, part_of: int, slices: int, hot: np.ndarray, parts: int, limit: int):
+def _scan(batches, part_of: int, slices: int, hot: np.ndarray, parts: int, limit: int, apart: Apart):
     """The chunks of one slice of first words."""
     kept: list = []
     keys: list[bytes] = []
@@ -153,7 +259,7 @@ def _scan(batches, part_of: int, slices: int, hot: np.ndarray, parts: int, limit
     for batch in batches:
         key, flag = batch.column("key").to_pylist(), batch.column("train").to_pylist()
         for block in blocks(batch.column("text")):
-            before, token, rows = _pairs(LOWER[block.data], block.offsets)
+            before, token, rows = _pairs(LOWER[block.data], block.offsets, apart)
             n, mine = len(block.offsets) - 1, (_mix(before) >> np.uint64(40)) % np.uint64(slices) == part_of
             kept.append((before[mine], token[mine], rows[mine] + len(keys)))
             keys += key[block.first : block.first + n]
@@ -344,7 +450,7 @@ def _lower_sums(pairs: pa.Table, known: pa.Table, scale: Scale) -> pa.Table:
     first = np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)
     value = np.concatenate(values) if values else np.zeros(0)
     distinct, place = np.unique(first, return_inverse=True)
-    sums = np.bincount(place, value, len(distinct))
+    sums = np.bincount(place, value, len(distinct)).astype(np.float64)  # over nothing it would be whole numbers
     return pa.table([pa.array(distinct.view(np.int64)), pa.array(sums)], ["word", "lower"])
 
 
@@ -364,17 +470,24 @@ def _unseen(batches):
             )
 
 
-def _frequent(rows: DataFrame, sample: int = HOT_SAMPLE, share: float = HOT_SHARE) -> np.ndarray:
-    """Words so frequent in a sample of ``sample`` rows that their pairs need several owners; at most 1 / share words.
+def _frequent(rows: DataFrame, total: int, apart: Apart, sample: int = HOT_SAMPLE, share: float = HOT_SHARE) -> np.ndarray:
+    """Words so frequent in a sample of about ``sample`` of the ``total`` rows that their pairs need several owners.
 
-    This only decides where pairs are counted, not what is counted.
+    This only decides where pairs are counted, not what is counted.  They are at most 1 / share words; the
+    sample itself stays in the executors.
     """
-    got = rows.select("text", F.xxhash64("key").alias("order")).orderBy("order").limit(sample)
-    tokens = [_pairs(LOWER[b.data], b.offsets)[0] for t in got.toArrow()["text"].chunks for b in blocks(t)]
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    word, n = np.unique(np.concatenate(tokens), return_counts=True)
-    return word[n > share * n.sum()]
+
+    def count(batches):
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                word, n = np.unique(_pairs(LOWER[block.data], block.offsets, apart)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    part = min(1.0, sample / max(total, 1))
+    chosen = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))).select("text")
+    counts = save(chosen.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    return np.array([r.word for r in counts.filter(F.col("n") > share * tokens).collect()], np.int64).view(np.uint64)
 
 
 def held_out(doc_id, parts: int = 7, part: int = 2):
@@ -390,6 +503,7 @@ def score(
     parts: int = PARTS,
     chunk_tokens: int = CHUNK_TOKENS,
     hot_share: float = HOT_SHARE,
+    owner_bytes: int = OWNER_BYTES,
 ) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -402,13 +516,17 @@ def score(
         row_key(F.col(doc_id), F.col(text)).alias("key"), bytes_of(F.col(text)).alias("text"), (~held_out(F.col(doc_id))).alias("train")
     )
     spark = docs.sparkSession
-    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    hot = _frequent(rows, share=hot_share)
-    trained = docs.filter(~held_out(F.col(doc_id))).count()
+    total, trained, size = rows.agg(
+        F.count(F.lit(1)), F.count_if("train"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))
+    ).first()
+    # an owner holds the pairs of so much text, however large the table is
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-size // owner_bytes))
+    apart = words_apart(rows, parts)
+    hot = _frequent(rows, total, apart, share=hot_share)
 
     def counted(number: int) -> DataFrame:
         def scan(batches):
-            yield from _scan(batches, number, slices, hot, parts, chunk_tokens)
+            yield from _scan(batches, number, slices, hot, parts, chunk_tokens, apart)
 
         def count(table: pa.Table) -> pa.Table:
             return _count(table, hot)

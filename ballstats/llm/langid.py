@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ballstats.llm.tokens import blocks
+from ballstats.operators.ranking import free_name
 
 UNDETERMINED = "und"
 HIDDEN, SPAN = 8, 64
 SAMPLE_TEXTS, SAMPLE_CHARS = 1600, 512
-MAX_LANGUAGES = 256
 LANES = 2048
 
 
@@ -23,8 +23,8 @@ class Net(NamedTuple):
     """Weights of both directions and of the layer that labels positions."""
 
     languages: tuple[str, ...]
-    embed: np.ndarray  # direction, byte, gate and candidate
-    recur: np.ndarray  # direction, gate and candidate, hidden
+    embed: np.ndarray  # direction, byte, (reset gate, update gate, candidate) of each unit
+    recur: np.ndarray  # direction, (reset gate, update gate, candidate) of each unit, hidden
     label: np.ndarray  # language, hidden of both directions
     bias: np.ndarray
 
@@ -32,28 +32,32 @@ class Net(NamedTuple):
 def _states(net: Net, bytes_at: np.ndarray, keep: list | None = None) -> np.ndarray:
     """Hidden states (position, hidden of both directions, lane) of byte spans (position, lane).
 
-    Each direction has one update gate and one candidate a unit: h += z * (c - h), with
-    z = (clip(a) + 1) / 2 and c = clip(b), both clipped to -1..1, so a step is a small product
-    and a few passes over the lanes.
+    Each direction is a layer of gated recurrent units: with u = U h and the byte's row e, the gates are
+    r = sigmoid(e_r + u_r) and z = sigmoid(e_z + u_z), the candidate is c = tanh(e_c + r u_c), and
+    h += z (c - h).
     """
     length, lanes = bytes_at.shape
-    h = net.recur.shape[2]
-    out = np.empty((length, 2 * h, lanes), np.float32)
-    a = np.empty((2 * h, lanes), np.float32)
-    g = np.empty((lanes, 2 * h), np.float32)
+    h, kind = net.recur.shape[2], net.recur.dtype
+    out = np.empty((length, 2 * h, lanes), kind)
+    u = np.empty((3 * h, lanes), kind)
+    g = np.empty((lanes, 3 * h), kind)
+    gates, c = np.empty((2 * h, lanes), kind), np.empty((h, lanes), kind)
+    r, z = gates[:h], gates[h:]
     for way in (0, 1):
-        state = np.zeros((h, lanes), np.float32)
+        state = np.zeros((h, lanes), kind)
         for t in range(length) if way == 0 else range(length - 1, -1, -1):
-            np.matmul(net.recur[way], state, out=a)
+            np.matmul(net.recur[way], state, out=u)
             np.take(net.embed[way], bytes_at[t], axis=0, out=g, mode="clip")
-            a += g.T
+            np.add(u[: 2 * h], g[:, : 2 * h].T, out=gates)
+            gates *= 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            np.multiply(r, u[2 * h :], out=c)
+            c += g[:, 2 * h :].T
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((way, t, state.copy(), a.copy()))
-            np.maximum(a, -1, out=a)
-            np.minimum(a, 1, out=a)
-            z, c = a[:h], a[h:]
-            z += 1
-            z *= 0.5
+                keep.append((way, t, state.copy(), u[2 * h :].copy(), gates.copy(), c.copy()))
             c -= state
             c *= z
             state += c
@@ -98,8 +102,8 @@ def train(
     rng, h, n = np.random.default_rng(seed), hidden, len(languages)
     net = Net(
         languages,
-        rng.normal(0, 0.3, (2, 256, 2 * h)).astype(np.float32),
-        rng.normal(0, 0.3, (2, 2 * h, h)).astype(np.float32),
+        rng.normal(0, 0.3, (2, 256, 3 * h)).astype(np.float32),
+        rng.normal(0, 0.3, (2, 3 * h, h)).astype(np.float32),
         rng.normal(0, 0.3, (n, 2 * h)).astype(np.float32),
         np.zeros(n, np.float32),
     )
@@ -141,21 +145,22 @@ def _gradient(net: Net, bytes_at: np.ndarray, target: np.ndarray, real: np.ndarr
     d_label = np.einsum("tnl,thl->nh", d_scores, states, optimize=True)
     d_states = np.matmul(net.label.T, d_scores)
     d_embed, d_recur = np.zeros_like(net.embed), np.zeros_like(net.recur)
-    d_inner = np.empty((2, 2 * h, length, lanes), np.float32)
+    d_inner = np.empty((2, 3 * h, length, lanes), net.recur.dtype)
     carry, last = None, None
-    for way, t, state, a in reversed(trail):
+    for way, t, state, u, gates, c in reversed(trail):
         if way != last:
-            carry, last = np.zeros((h, lanes), np.float32), way
+            carry, last = np.zeros((h, lanes), net.recur.dtype), way
         d = d_states[t, way * h : way * h + h] + carry
-        inside = np.where(np.abs(a) < 1, np.float32(1), np.float32(0.05))  # a small slope where it is clipped
-        z, c = np.clip(a[:h], -1, 1) * 0.5 + 0.5, np.clip(a[h:], -1, 1)
-        d_a = np.concatenate((d * (c - state) * 0.5, d * z)) * inside
-        d_inner[way, :, t] = d_a
-        d_recur[way] += d_a @ state.T
-        carry = d * (1 - z) + net.recur[way].T @ d_a
+        r, z = gates[:h], gates[h:]
+        d_c = d * z * (1 - c * c)
+        d_r, d_z = d_c * u * r * (1 - r), d * (c - state) * z * (1 - z)
+        d_inner[way, :, t] = np.concatenate((d_r, d_z, d_c))
+        d_u = np.concatenate((d_r, d_z, d_c * r))
+        d_recur[way] += d_u @ state.T
+        carry = d * (1 - z) + net.recur[way].T @ d_u
     flat = bytes_at.ravel()
     for way in (0, 1):
-        for unit in range(2 * h):
+        for unit in range(3 * h):
             d_embed[way, :, unit] = np.bincount(flat, d_inner[way, unit].ravel(), 256)
     return [d_embed, d_recur, d_label, d_scores.sum(axis=(0, 2))]
 
@@ -174,8 +179,9 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray, span: int = SPAN) ->
     out = np.zeros((len(sizes), len(net.languages)))
     padded = np.concatenate((data, np.zeros(span, np.uint8)))
     steps = np.arange(span)
-    for at in range(0, len(owner), LANES):
-        part = slice(at, at + LANES)
+    lanes = max(16, min(LANES, LANES * 128 // max(len(net.languages), 1)))  # a block of bounded size, whatever their number
+    for at in range(0, len(owner), lanes):
+        part = slice(at, at + lanes)
         bytes_at = padded[begin[part][None, :] + steps[:, None]]
         real = steps[:, None] < held[part][None, :]
         bytes_at = np.where(real, bytes_at, 0)
@@ -183,8 +189,9 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray, span: int = SPAN) ->
         if not real.all():
             shares *= real[:, None, :]
         sums = shares.sum(axis=0)
+        first, last = owner[at], owner[part][-1] + 1
         for n in range(len(net.languages)):
-            out[:, n] += np.bincount(owner[part], sums[n], len(sizes))
+            out[first:last, n] += np.bincount(owner[part] - first, sums[n], last - first)
     return out / np.maximum(sizes, 1)[:, None]
 
 
@@ -192,55 +199,58 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Train on a bounded sample: ``sample_texts`` pieces of ``SAMPLE_CHARS`` characters, shared evenly by the languages.
 
     Of each language the rows with the least key hashes below a bound are taken, each with a piece
-    from a place that its hash chooses.  Only this sample reaches the driver.
+    from a place that its hash chooses, one at least.  Every value of the column is learned, however
+    many there are; only the sample and one count a language reach the driver.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    counts = rows.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
     if not counts:
         return train([], [])
     each = max(1, sample_texts // len(counts))
     # about twice as many rows as are wanted, so that ranking them is little work whatever the table's size
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, 2 * each / r[1]))])
+    limits = [(r[0], int(min(1.0, 2 * each / r[1] if each > 4 else 32 / r[1]) * (1 << 40))) for r in counts]
+    limit = docs.sparkSession.createDataFrame(limits, "lang string, limit bigint")
     order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
-    rows = rows.filter(F.pmod(order, F.lit(1 << 40)) < F.element_at(share, F.col(lang)) * float(1 << 40))
     start = F.pmod(order, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1)).cast("long")).cast("int") + 1
     chosen = rows.select(
-        F.col(lang).alias("lang"), order.alias("order"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("piece")
+        F.col(lang).cast("string").alias("lang"), order.alias("order"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("piece")
     )
+    chosen = chosen.join(limit, "lang").filter(F.pmod("order", F.lit(1 << 40)) < F.col("limit"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
     sample = chosen.withColumn("rank", rank).filter(F.col("rank") <= each)
     got = sample.orderBy("lang", "rank").collect()
     return train([r.piece.encode() for r in got], [r.lang for r in got])
 
 
-def with_language(docs: DataFrame, net: Net, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows with ``_lang`` and ``_score`` added; ``keep`` names the columns to hand on."""
+def with_language(
+    docs: DataFrame, net: Net, text: str = "text", keep: tuple[str, ...] | None = None, lang: str = "_lang", score: str = "_score"
+) -> DataFrame:
+    """The rows with the language found and its probability added under the given names; ``keep`` names the columns to hand on."""
     names = list(keep if keep is not None else docs.columns)
+    given, spelled = (free_name([*names, lang, score], x) for x in ("_bytes", "_letters"))
     read = docs.select(
-        *[F.col(c) for c in names],
-        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_bytes"),
-        F.coalesce(has_letter(F.col(text)), F.lit(False)).alias("_letters"),
+        *[F.col(f"`{c}`") for c in names],
+        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(given),
+        F.coalesce(has_letter(F.col(text)), F.lit(False)).alias(spelled),
     )
 
     def run(batches):
         for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
-            best, score = np.zeros(len(letters), np.int64), np.zeros(len(letters))
-            for block in blocks(batch.column("_bytes")) if net.languages else ():
+            letters = batch.column(spelled).to_numpy(zero_copy_only=False)
+            best, sure = np.zeros(len(letters), np.int64), np.zeros(len(letters))
+            for block in blocks(batch.column(given)) if net.languages else ():
                 shares = pooled(net, block.data, block.offsets)
                 rows = slice(block.first, block.first + len(shares))
-                best[rows], score[rows] = shares.argmax(axis=1), shares.max(axis=1)
+                best[rows], sure[rows] = shares.argmax(axis=1), shares.max(axis=1)
             known = letters & bool(net.languages)
             found = [net.languages[i] if k else UNDETERMINED for i, k in zip(best.tolist(), known.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(found, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))],
-                [*names, "_lang", "_score"],
+                [*(batch.column(c) for c in names), pa.array(found, pa.string()), pa.array(np.where(known, np.clip(sure, 0, 1), 0.0))],
+                [*names, lang, score],
             )
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return read.mapInArrow(run, f"{schema}, _lang string, _score double")
+    return read.mapInArrow(run, f"{schema}, `{lang}` string, `{score}` double")
 
 
 def has_letter(text: Column) -> Column:
@@ -272,8 +282,15 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def drop_undetermined(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = 0.3
 ) -> DataFrame:
-    """The rows whose language is found with at least ``min_score``, with their columns."""
+    """The rows whose language is found with at least ``min_score``, with their columns.
+
+    Texts that are null or empty or have no letter go.  Rows that repeat others share their fate and stay as
+    often as they came; a text between two languages stays if the likelier reaches ``min_score``.  With
+    nothing to learn from every row goes; an empty table stays empty.  Extra columns are handed on, whatever their names.
+    """
     net = fit(docs.filter(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))), text, lang, doc_id)
-    found = with_language(docs, net, text)
-    certain = (F.col("_lang") != UNDETERMINED) & (F.col("_score") >= min_score)
-    return found.filter(certain).select(*docs.columns)
+    one = free_name(docs.columns, "_lang")
+    two = free_name([*docs.columns, one], "_score")
+    found = with_language(docs, net, text, lang=one, score=two)
+    certain = (F.col(one) != UNDETERMINED) & (F.col(two) >= min_score)
+    return found.filter(certain).select(*[f"`{c}`" for c in docs.columns])

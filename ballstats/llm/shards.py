@@ -12,18 +12,37 @@ SHARDS, ROUNDS, BUCKET_ROWS = 16, 24, 20_000
 
 
 def _quotas(spark: SparkSession, wishes: list, held: dict[int, int], room: int) -> tuple[DataFrame, int]:
-    """What share of each wish (from, to, gain class) may move: the highest gains first, up to the room.
+    """What share of each wish (from, to, gain class) may move: the highest gains first.
 
-    At most shards * shards * 128 wishes, whatever the number of rows.
+    First as far as the room goes, then in exchange: as many rows as want to go from one shard to another
+    may, if as many want to come back, at once or by way of a third shard.  At most shards * shards *
+    128 wishes, whatever the number of rows.
     """
+    order = sorted(wishes, key=lambda w: (-w.gain, w.shard, w.target))
+    left, ways = {w: w.n for w in order}, {}
+    for w in order:
+        ways.setdefault((w.shard, w.target), []).append(w)
+
+    def grant(shard: int, target: int, n: int) -> None:
+        for w in ways[shard, target]:
+            x = min(n, left[w])
+            left[w] -= x
+            n -= x
+
     free = {s: max(0, room - n) for s, n in held.items()}
-    granted = []
-    for w in sorted(wishes, key=lambda w: (-w.gain, w.shard, w.target)):
-        allowed = min(w.n, free[w.target])
-        free[w.target] -= allowed
-        free[w.shard] += allowed
-        if allowed:
-            granted.append((w.shard, w.target, w.gain, allowed / w.n))
+    for w in order:
+        x = min(left[w], free[w.target])
+        left[w] -= x
+        free[w.target] -= x
+        free[w.shard] += x
+    rings = [(s, t) for s, t in ways if s < t and (t, s) in ways]
+    rings += [(s, t, u) for s, t in ways for u in held if s < min(t, u) and (t, u) in ways and (u, s) in ways]
+    for ring in rings:
+        steps = list(zip(ring, (*ring[1:], ring[0]), strict=True))
+        x = min(sum(left[w] for w in ways[step]) for step in steps)
+        for shard, target in steps:
+            grant(shard, target, x)
+    granted = [(w.shard, w.target, w.gain, (w.n - left[w]) / w.n) for w in order if left[w] < w.n]
     table = spark.createDataFrame(granted, "shard int, target int, gain int, share double")
     return table, len(granted)
 
@@ -33,11 +52,13 @@ def propagate(linked: DataFrame, room: int, shards: int = SHARDS, rounds: int =
 
     Each round counts every group's rows by shard.  Among the shards that have room, the fullest of a
     group (of equals one that its hash chooses) is the target of those with fewer of its rows, and moves are admitted
-    by gain as far as the target's ``room`` goes; a group that fills a shard goes on gathering in the
-    next.  The unit of a round is the (group, shard) count, so a group of any size is a few rows, and
-    which of its rows move is decided by each row's own hash.  It ends when nothing may move.
+    by gain as far as the target's ``room`` goes, or in exchange for as many rows that leave it; every other round
+    groups that fit into a shard may choose a full one, too.  A group that fills a shard goes on
+    gathering in the next.  The unit of a round is the (group, shard) count, so a group of any size is a few rows, and
+    which of its rows move is decided by each row's own hash.  It ends when nothing
+    may move in two rounds.
     """
-    spark = linked.sparkSession
+    spark, idle = linked.sparkSession, 0
     for turn in range(rounds):
         counts = save(linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")))
         by_shard = counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()
@@ -46,7 +67,11 @@ def propagate(linked: DataFrame, room: int, shards: int = SHARDS, rounds: int =
         tie = F.xxhash64("group", "shard").alias("tie")  # else equals would all choose the same shards
         place = F.struct("n", tie, F.col("shard").alias("s"))
         in_room = F.col("shard").isin(roomy)
-        best = counts.groupBy("group").agg(F.max(F.when(in_room, place)).alias("best"), F.sum("n").alias("group_rows"))
+        best = counts.groupBy("group").agg(
+            F.max(F.when(in_room, place)).alias("roomy"), F.max(place).alias("any"), F.sum("n").alias("group_rows")
+        )
+        wide = F.lit(turn % 2 == 1) & (F.col("group_rows") <= room)
+        best = best.select("group", "group_rows", F.when(wide, F.col("any")).otherwise(F.col("roomy")).alias("best"))
         whole = F.when(F.col("group_rows") <= room, 64).otherwise(0)  # groups that fit into a shard go first
         gain = F.log2(F.col("best.n") - F.col("n") + 2).cast("int") + whole
         wishes = save(
@@ -56,8 +81,11 @@ def propagate(linked: DataFrame, room: int, shards: int = SHARDS, rounds: int =
         )
         asked = wishes.groupBy("shard", "target", "gain").agg(F.sum("n").alias("n")).collect()
         shares, moves = _quotas(spark, asked, held, room)
-        if not moves:
+        idle = 0 if moves else idle + 1
+        if idle == 2:
             break
+        if not moves:
+            continue
         granted = wishes.join(shares, ["shard", "target", "gain"]).select("group", "shard", "target", "share")
         draw = F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
         moved = F.when(draw < F.col("share"), F.col("target")).otherwise(F.col("shard"))

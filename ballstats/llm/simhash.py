@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ballstats.llm.graph import components
 from ballstats.llm.shared import bytes_of, row_key, save
 from ballstats.llm.tokens import blocks
+from ballstats.operators.ranking import free_name
 
 SHINGLE, RADIUS, BITS = 4, 4, 64
 BUCKET = 128
@@ -178,7 +179,13 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is their component's smallest, with their columns."""
+    """The rows whose id is their component's smallest, with their columns.
+
+    Of texts without a word (null, empty, white space) the smallest id stays.  Rows that repeat an id and its
+    text stay as often as they came, and so do different texts of one id that is the smallest.  An empty
+    table stays empty.  Extra columns are handed on, whatever their names.
+    """
     found = near_duplicates(docs, doc_id, text)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_kept"))
-    return docs.join(kept, row_key(F.col(doc_id), F.col(text)) == F.col("_kept"), "left_semi")
+    name = free_name(docs.columns, "_kept")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(name))
+    return docs.join(kept, row_key(F.col(doc_id), F.col(text)) == F.col(name), "left_semi")

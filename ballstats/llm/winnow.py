@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ballstats.llm.shared import bit_filter, bytes_of, passes, row_key, save
 from ballstats.llm.tokens import ALNUM, LOWER, blocks, sequence_hashes, window_minima, word_hashes, words
+from ballstats.operators.ranking import free_name
 
 WINDOW, GRAM = 10, 5
 _ROWS = "rid bigint, id {}, key binary, n_words bigint, kind int, hash bigint, at bigint, first bigint, context string"
@@ -205,6 +206,11 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that share no window with the benchmark, with their columns."""
-    hit = contamination(docs, benchmark, doc_id, text).filter("contaminated").select(F.col("key").alias("_hit"))
-    return docs.join(hit.distinct(), row_key(F.col(doc_id), F.col(text)) == F.col("_hit"), "left_anti")
+    """The rows that share no window with the benchmark, with their columns.
+
+    Null and empty texts share nothing and stay.  Rows that repeat others share their fate.  Without items every
+    row stays; an empty table stays empty.  Extra columns are handed on, whatever their names.
+    """
+    name = free_name(docs.columns, "_hit")
+    hit = contamination(docs, benchmark, doc_id, text).filter("contaminated").select(F.col("key").alias(name))
+    return docs.join(hit.distinct(), row_key(F.col(doc_id), F.col(text)) == F.col(name), "left_anti")

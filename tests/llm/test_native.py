@@ -4,10 +4,12 @@ import hashlib
 import textwrap
 from pathlib import Path
 
+import duckdb
 import pytest
 from fixtures_llm import docs  # noqa: F401
 
 from ballstats.llm import exact, licenses, urls
+from ballstats.llm.oracle import ORACLE
 
 
 def sha(text):
@@ -31,6 +33,24 @@ def test_exact_groups(docs, bits):
         assert max(r.chain for r in got) > 0
 
 
+def test_the_bucket_decides(docs):
+    """Copies in different tasks meet in their bucket's chain, and only there."""
+    rows = [(i, f"text {i % 7}") for i in range(70)]
+    df = docs(rows).repartition(6)
+    folded = exact.folds(df, hash_bits=3)
+    assert folded.count() > 7  # not yet one row for each text
+    slots, depth = exact.directory(folded.select("hash").distinct(), capacity=1, max_depth=4)
+    assert depth >= 2 and slots.select("bucket").distinct().count() > 1  # split buckets
+    index = exact.build_index(folded, slots, depth)
+    assert sorted((r.group_size, r.keep_id) for r in index.collect()) == [(10, 63 + k) for k in range(7)]
+    names = {r.slot: r.bucket for r in slots.collect()}
+    chains = {}
+    for r in index.collect():
+        assert r.bucket == names[(r.hash & (1 << 64) - 1) >> (64 - depth)]
+        chains.setdefault((r.bucket, r.hash), []).append(r.chain)
+    assert all(sorted(c) == list(range(len(c))) for c in chains.values()) and max(map(len, chains.values())) > 1
+
+
 def test_directory_splits_only_overfull_buckets(spark):
     keys = spark.createDataFrame([(h << 60,) for h in [0, 0, 0, 1, 4]] + [(-(1 << 63),)], "hash bigint")
     slots, depth = exact.directory(keys, capacity=3, max_depth=6)
@@ -59,17 +79,17 @@ def test_drop_exact_keeps_columns_and_largest_ids(docs):
 
 
 def test_licenses(docs):
-    mit = licenses.LICENSES["MIT"][1]
-    altered = "Copyright (c) 2020 Some One\n" + mit.replace("merge", "MERGE,").upper()
+    isc = licenses.LICENSES["ISC"][1]
+    altered = "Copyright (c) 2020 Some One\n" + isc.replace("modify", "MODIFY,").upper()
     rows = [
-        (1, mit), (2, altered), (3, "prose\nReleased under the MIT License!\nLicensed under CC BY 4.0"), (4, None), (5, ""),
+        (1, isc), (2, altered), (3, "prose\nReleased under the MIT License!\nLicensed under CC BY 4.0"), (4, None), (5, ""),
         (6, "This work is LICENCED under the GNU General Public Licence, version 3."), (6, "..."), (None, "x " * 50_000),
         (7, "(c) me\ncopyright you\nReleased under the MIT Licence"),
     ]
     got = {}
     for r in licenses.scan_licenses(docs(rows)).collect():
         got.setdefault(r.doc_id, []).append((r.license_id, r.notices, r.n_notice_lines))
-    assert got[1] == [("MIT", "MIT", 1)] and got[2] == [("MIT", "MIT", 1)]
+    assert got[1] == [("ISC", "ISC", 1)] and got[2] == [("ISC", "ISC", 1)]
     assert got[3] == [(None, "CC-BY-4.0,MIT", 2)]
     assert got[4] == got[5] == [(None, None, 0)]
     assert sorted(got[6], key=str) == sorted([("GPL-3.0-only", "GPL-3.0-only", 1), (None, None, 0)], key=str)
@@ -93,7 +113,7 @@ FILES = [
 ]
 
 
-def test_whole_license_files(docs):
+def test_whole_license_files(docs, tmp_path):
     folder = Path(licenses.__file__).with_name("license_texts")
     rows, want = [], {}
     for i, (name, license_id, form) in enumerate(FILES):
@@ -101,8 +121,9 @@ def test_whole_license_files(docs):
         rows.append((i, form.format(owner=OWNER, text=text)))
         want[i] = license_id
     rows += [(100, rows[0][1] + "\nand one more condition"), (101, rows[0][1].replace("free of charge", "for a fee"))]
-    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs(rows)).collect()}
-    assert got == {**want, 100: None, 101: None}
+    found = licenses.scan_licenses(docs(rows)).collect()
+    assert {r.doc_id: r.license_id for r in found} == {**want, 100: None, 101: None}
+    assert sorted(map(str, in_sql(tmp_path, "op10_licenses", documents=docs(rows)))) == sorted(str(tuple(r)) for r in found)
 
 
 def test_mit_file_wrapped_elsewhere(docs):
@@ -132,6 +153,21 @@ def judge(url):
     return (host, path, *max(fits)[1:]) if fits else (host, path, None, "allow")
 
 
+URLS = [
+    "http://a.net?u=http://x.org/p", "http://a.net#http://x.org/p", "http://x.org?u=https://example.net/en/", "http://a.net:80?u=://b/",
+    "http://a.net/p?u=http://x.org/fr/", "http://a.net://b.org/fr/", "://?u=http://x.org/fr/", "a?u=http://x.org?v=http://y.net/",
+]
+
+
+def in_sql(tmp_path, name, **frames):
+    """What a query's SQL gives over small tables."""
+    con = duckdb.connect()
+    for table, frame in frames.items():
+        frame.write.parquet(str(tmp_path / table))
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}/*.parquet')")
+    return con.execute(ORACLE[name]).fetchall()
+
+
 def test_url_rules(spark):
     given = [
         "http://a.net/x", "http://NET/", "http://net", "http://net?x", "https://m.Example.NET/en/25#t", "http://example.net/EN/",
@@ -146,15 +182,20 @@ def test_url_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
-def test_a_later_scheme_starts_no_host(spark):
-    given = [
-        "http://a.net?u=http://x.org/p", "http://a.net#http://x.org/p", "http://x.org?u=https://example.net/en/", "http://a.net:80?u=://b/",
-        "http://a.net/p?u=http://x.org/fr/", "http://a.net://b.org/fr/", "://?u=http://x.org/fr/", "a?u=http://x.org?v=http://y.net/",
-    ]
-    pages = spark.createDataFrame(list(enumerate(given)), "page_id bigint, url string")
-    got = sorted(map(str, (tuple(r) for r in urls.judge_urls(pages).collect())))
-    assert got == sorted(str((i, *judge(u))) for i, u in enumerate(given))
-    assert judge(given[0]) == ("a.net", "", None, "allow")
+def test_a_later_scheme_starts_no_host(spark, tmp_path):
+    pages = spark.createDataFrame([*enumerate([*URLS, None, "", "x"])], "page_id bigint, url string")
+    want = sorted(str((i, *judge(u))) for i, u in enumerate([*URLS, None, "", "x"]))
+    assert sorted(map(str, (tuple(r) for r in urls.judge_urls(pages).collect()))) == want
+    assert sorted(map(str, in_sql(tmp_path, "op7_url_rules", pages=pages))) == want
+    assert judge(URLS[0]) == ("a.net", "", None, "allow")
+
+
+def test_rules_without_a_token_run_on_every_url(spark):
+    rules = [*urls.RULES, urls.Rule("no path", "block", r"\x00$", ()), urls.Rule("x", "block", "^[^\x00]*\\.museum\x00", ("museum",))]
+    given = ["http://a.com", "http://a.com/", "http://b.museum/", "http://a.net/", "http://???", "no scheme"]
+    pages = spark.createDataFrame([*enumerate(given)], "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, rules=rules).collect()}
+    assert got == {0: ("no path", "block"), 1: (None, "allow"), 2: ("x", "block"), 3: ("net/", "block"), 4: (None, "allow"), 5: (None, "allow")}
 
 
 def test_rules_stand_under_their_rarest_token(spark):

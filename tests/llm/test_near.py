@@ -44,9 +44,9 @@ def test_hashes_do_not_depend_on_the_part(part):
     values = rng.integers(0, 256, 300).astype(np.uint8)
     starts = rng.integers(0, 300, 500)
     ends = starts + rng.integers(0, 301 - starts)
-    want = _spans(values, starts, ends, 0x9E3779B97F4A7C15, 1)
-    assert (_spans(values, starts, ends, 0x9E3779B97F4A7C15, 1, part) == want).all()
-    again = _spans(np.concatenate((values[:9], values)), starts + 9, ends + 9, 0x9E3779B97F4A7C15, 1, part)
+    want = _spans(values, starts, ends, 0x9E3779B97F4A7C15)
+    assert (_spans(values, starts, ends, 0x9E3779B97F4A7C15, part) == want).all()
+    again = _spans(np.concatenate((values[:9], values)), starts + 9, ends + 9, 0x9E3779B97F4A7C15, part)
     assert (again == want).all()
 
 
@@ -235,3 +235,66 @@ def test_repeated_phrases_of_nothing(docs):
     assert phrases.repeated_phrases(docs([])).count() == 0
     got = phrases.repeated_phrases(docs([(1, None), (2, "a b")])).collect()
     assert {tuple(r)[:3] for r in got} == {(1, 0, 0), (2, 2, 0)}
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_cannot_tell_apart(docs):
+    """A sequence and its complement have one polynomial hash modulo 2**64, whatever its odd base."""
+    rng, vocab = random.Random(12), vocabulary(400, 3)
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    before, behind = (" ".join(rng.choice(vocab) for _ in range(30)) for _ in range(2))
+    rows = [(1, f"{before} {one} {behind}"), (2, f"{before} {two} {behind}"), (3, f"{before} {one} {behind}")]
+    got = [tuple(r) for r in phrases.repeated_phrases(docs(rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 50)))
+    assert {r[0]: r[2] for r in got} == {1: 0, 2: 0, 3: 61}
+    data = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    first, second = word_hashes(data, words(data, np.array([0, len(data)]), SPACES))
+    assert first != second
+
+
+def test_phrases_of_words_that_share_hashes(docs, monkeypatch):
+    """Hashes of one bit: everything is one phrase, and only the words decide."""
+    monkeypatch.setattr(phrases, "word_hashes", lambda data, found: word_hashes(data, found) % np.uint64(2))
+    rng, vocab = random.Random(13), vocabulary(30, 4)
+    passage = [rng.choice(vocab) for _ in range(14)]
+    rows = [(i % 20, " ".join([*(rng.choice(vocab) for _ in range(rng.randint(0, 25))), *passage[rng.randrange(5) :]])) for i in range(30)]
+    got = [tuple(r) for r in phrases.repeated_phrases(docs(rows), window=10, gram=3, shard_stretches=5).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 10)))
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 9, 255, 256, 257, 1000])
+def test_word_hashes_of_any_length(size):
+    rng = random.Random(size)
+    found = [bytes(rng.choices(b"xyz", k=size)) for _ in range(200)]
+    found += [f[:-1] + b"w" for f in found] + [b"w" + f[1:] for f in found] + found[:50]
+    data = np.frombuffer(b" ".join(found), np.uint8)
+    got = word_hashes(data, words(data, np.array([0, len(data)]), SPACES))
+    assert len({*got.tolist()}) == len({*found}) and dict(zip(found, got.tolist(), strict=True)) == {
+        w: h for w, h in zip(found[::-1], got.tolist()[::-1], strict=True)
+    }
+
+
+# names that the stages use inside, as extra columns
+CLASHING = ["_lang", "_score", "_bytes", "_letters", "_keep_id", "_keep_digest", "_kept", "_hit", "key", "rid", "decoded", "odd name"]
+
+
+def test_stages_with_columns_of_their_own_names(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    word = lambda lang: "".join(rng.choice({"aa": "abcde", "bb": "vwxyz"}[lang]) for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word(lang) for _ in range(40)), lang, "s", 9) for i, lang in enumerate(["aa", "bb"] * 30)]
+    rows += [(100, rows[0][1], "aa", "s", 9), (101, None, "aa", "s", 9), (102, "", None, None, None)] + [rows[5]] * 2
+    plain = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    extra = spark.createDataFrame([(*r, *["x"] * len(CLASHING)) for r in rows], plain + "".join(f", `{c}` string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs_ = spark.createDataFrame(rows, plain)
+        got, want = stage(spark, extra, ""), stage(spark, docs_, "")
+        assert got.columns == extra.columns, name
+        assert sorted(map(str, got.select(*docs_.columns).collect())) == sorted(map(str, want.collect())), name
+    items = spark.createDataFrame([(1, rows[7][1])], "item_id bigint, text string")
+    got = winnow.drop_contaminated(extra, items)
+    assert got.columns == extra.columns and got.count() == len(rows) - 1
