@@ -63,36 +63,46 @@ MONTH_FIRST = r"^(0?[1-9]|1[0-2])[/.-](\d{1,2})[/.-](\d{4}|\d{2})" + TIME
 DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})" + TIME
 DAY_NAMED = rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[ .-]+{MONTH_NAME}[ .,-]+(\d{{4}}|\d{{2}})" + TIME
 NAME_FIRST = rf"(?i)^{MONTH_NAME}[ .-]+(\d{{1,2}})(?:st|nd|rd|th)?[ ,.-]+(\d{{4}}|\d{{2}})" + TIME
-CENTURY = 69  # two-digit years from here on are of the 1900s
+CENTURY = r"^=(?=(?:[0-5]\d|6[0-8])-)"  # two-digit years up to 68 are of the 2000s, the others of the 1900s
 
+# A form and how it is written as year-month-day; the mark in front keeps later forms off.
+REWRITES = [
+    (YEAR_FIRST, "=$1-$2-$3"),
+    (PACKED, "=$1-$2-$3"),
+    (MONTH_FIRST, "=$3-$1-$2"),
+    (DAY_FIRST, "=$3-$2-$1"),
+    (DAY_NAMED, "=$3-$2-$1"),
+    (NAME_FIRST, "=$3-$1-$2"),
+    (CENTURY, "=20"),
+    (r"^=(?=\d\d-)", "=19"),
+]
 
-def _by(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    """Date from the numbered groups of a pattern; NULL where it does not match."""
-    y, m, d = (F.regexp_extract(text, pattern, i) for i in (year, month, day))
-    full = F.when(F.length(y) == 2, F.concat(F.when(y.cast("int") < CENTURY, "20").otherwise("19"), y)).otherwise(y)
-    named = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.lower(F.substring(m, 1, 3)))
-    number = F.when(m.rlike("^[0-9]+$"), m).otherwise(named.cast("string"))
-    return F.when(text.rlike(pattern), F.concat_ws("-", full, number, d).try_cast("date"))
+
+def iso_date_text(text: Column) -> Column:
+    """A date text as year-month-day; a text of no known form, or that is ISO already, as it is.
+
+    Two short numbers and a year are month first, else day first when the month would exceed 12.
+    """
+    out = text
+    for form, written in REWRITES:
+        out = F.regexp_replace(out, form, written)
+    # the month's name becomes its place in a list of three-letter names
+    name = F.lower(F.regexp_extract(out, "^=[0-9]+-([a-zA-Z]{3})", 1))
+    number = F.call_function("locate", name, F.lit(" ".join(MONTHS))) + 3
+    out = F.regexp_replace(out, F.lit("^(=[0-9]+)-[a-zA-Z]+-"), F.concat(F.lit("$1-"), F.shiftright(number, 2).cast("string"), F.lit("-")))
+    return F.when(text.rlike(r"^(?:=|\d{4}-)"), text).otherwise(F.ltrim(out, F.lit("=")))
 
 
 def match_date(text: Column, unreadable: str = "error") -> Column:
     """Date from mixed texts: ISO, year first, eight digits, month first, day first, or a named month.
 
-    Two short numbers and a year are month first, else day first when the month would exceed 12.
-    A text that is no date is an error; ``unreadable="null"`` makes it NULL.
+    The text is rewritten once by its form and cast once.  A text that is no date is an error;
+    ``unreadable="null"`` makes it NULL.
     """
     if unreadable not in ("error", "null"):
         raise ValueError(f"unreadable must be 'error' or 'null', not {unreadable!r}")
     text = F.trim(text)
-    date = F.coalesce(
-        text.try_cast("date"),
-        _by(text, MONTH_FIRST, 3, 1, 2),
-        _by(text, DAY_FIRST, 3, 2, 1),
-        _by(text, YEAR_FIRST, 1, 2, 3),
-        _by(text, PACKED, 1, 2, 3),
-        _by(text, DAY_NAMED, 3, 2, 1),
-        _by(text, NAME_FIRST, 3, 1, 2),
-    )
+    date = iso_date_text(text).try_cast("date")
     if unreadable == "null":
         return date
     return F.coalesce(date, F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("unreadable date: "), text)).cast("date")))
