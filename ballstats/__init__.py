@@ -10,6 +10,7 @@ from ballstats.operators.filters import (
 )
 from ballstats.operators.position import with_batting_position
 from ballstats.operators.prepare import dedupe_first, prepare_deliveries, prepare_typed
+from ballstats.operators.ranking import number_rows
 from ballstats.plans.batting import (
     BattingThresholds,
     batting_overall,
@@ -58,6 +59,7 @@ __all__ = [
     "matchup_overall",
     "matchup_season",
     "missing_players",
+    "number_rows",
     "over_table",
     "phase_table",
     "pivot_by_ball",

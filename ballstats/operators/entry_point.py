@@ -21,23 +21,29 @@ def appearances(
     )
 
 
-def median_entry(truncate: bool = False) -> Column:
-    """Aggregate: median first delivery.  Exact; the buffer holds one count per distinct delivery."""
-    return F.median(delivery_number("first_ball", truncate))
+def median_entry(truncate: bool = False, accuracy: int | None = None) -> Column:
+    """Aggregate: median first delivery.  Exact; the buffer holds one count per distinct delivery.
+
+    With ``accuracy`` a mergeable quantile sketch of bounded size instead: an entry whose rank among n is
+    off the middle by at most n / accuracy.  Of an even number it is the lower middle, not the mean of two.
+    """
+    number = delivery_number("first_ball", truncate)
+    return F.median(number) if accuracy is None else F.percentile_approx(number, 0.5, accuracy)
 
 
 def entry_points(
-    deliveries: DataFrame, player: str, by: Sequence[str] = (), compat: bool = False
+    deliveries: DataFrame, player: str, by: Sequence[str] = (), compat: bool = False, accuracy: int | None = None
 ) -> DataFrame:
     """Median entry point per (player, *by) as over.ball; rows with a NULL ``by`` are left out.
 
     ``compat`` cuts delivery numbers and, over whole careers, rounds the stored binary value.
+    ``accuracy`` takes the median from a sketch, see :func:`median_entry`.
     """
     inner = [c for c in by if c != "year"]
     return (
         appearances(deliveries.dropna(subset=list(by)) if by else deliveries, player, inner)
         .groupBy("player", *by)
-        .agg(median_entry(compat).alias("_median"))
+        .agg(median_entry(compat, accuracy).alias("_median"))
         .withColumn("median_entry_point", over_ball("_median", exact=compat and "year" not in by))
         .drop("_median")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballstats.functions import deliveries as rules
@@ -39,19 +39,40 @@ def dedupe_first(df: DataFrame, order: str = "seq", ignore: Sequence[str] = INDE
     return df.groupBy(*content).agg(F.min(order).alias(order)).select(*content, order)
 
 
+def dedupe_by_digest(
+    df: DataFrame, order: str = "seq", ignore: Sequence[str] = INDEX_COLUMNS, digest: Column | None = None
+) -> DataFrame:
+    """The same rows as :func:`dedupe_first`, for wide rows of which few repeat.
+
+    First only digests are counted, so a row moves eight bytes.  Rows whose digest is met once stay where
+    they are; the others meet by their whole content, so rows that merely share a digest both stay.
+    The table is read three times, which pays where moving all of it would cost more.
+    """
+    content = [c for c in df.columns if c != order and c not in ignore]
+    digest = F.xxhash64(*content) if digest is None else digest
+    marked = df.select(*content, order, digest.alias("_digest"))
+    again = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_digest")
+    alone = marked.join(again, "_digest", "left_anti").drop("_digest")
+    met = marked.join(again, "_digest", "left_semi").drop("_digest")
+    return alone.unionByName(dedupe_first(met, order, ignore))
+
+
+def _dated(df: DataFrame, text: str) -> DataFrame:
+    """Adds the date, in a step of its own, so that it is read once and everything else refers to it."""
+    return df.withColumn("date", rules.match_date(F.col(text)))
+
+
 def prepare_deliveries(raw: DataFrame) -> DataFrame:
     """Add balls counted, runs conceded, date, year, over and both wicket flags."""
     ball = F.col("ball").try_cast("double")
     dismissed, kind = F.col("player_dismissed"), F.col("wicket_type")
-    date = rules.match_date(F.col("start_date"))
-    return raw.withColumns(
+    return _dated(raw, "start_date").withColumns(
         {
             "b": rules.ball_counted(F.col("wides")),
             "rc": rules.runs_conceded(F.col("wides"), F.col("noballs"), F.col("runs_off_bat")),
             "wides": F.coalesce("wides", F.lit(0)),
             "noballs": F.coalesce("noballs", F.lit(0)),
-            "date": date,
-            "year": F.year(date),
+            "year": F.year("date"),
             "ball": ball,
             "over": rules.over_number(ball),
             "wicket": rules.batter_out(dismissed, kind),
@@ -64,13 +85,11 @@ def prepare_typed(raw: DataFrame) -> DataFrame:
     """The typed layout under the same column names, with bowling style and category."""
     df = raw.withColumnsRenamed(TYPED_NAMES)
     ball = F.col("ball").try_cast("double")
-    date = rules.match_date(F.col("StartDate"))
-    return df.withColumns(
+    return _dated(df, "StartDate").withColumns(
         {
             "b": rules.ball_counted_by_note(F.col("notes")),
             "rc": rules.runs_conceded(F.col("runs_off_bat"), F.col("extras")),
-            "date": date,
-            "year": F.year(date),
+            "year": F.year("date"),
             "ball": ball,
             "over": rules.over_number(ball),
             "types": rules.bowling_style(F.col("bowl_type")),

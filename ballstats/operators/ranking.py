@@ -24,7 +24,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_no") ->
     if not order:
         raise ValueError("an order is needed")
     columns = list(df.columns)
-    at, part, before = (_free(columns, x) for x in ("_at", "_part", "_before"))
+    at, part, before = (free_name(columns, x) for x in ("_at", "_part", "_before"))
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     rows = keep(ordered.withColumn(part, F.shiftright(at, _ROW_BITS)))
     starts = partition_starts(rows.groupBy(part).agg(F.count(F.lit(1)).alias(before)), part, [before])
@@ -32,6 +32,11 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_no") ->
     return rows.join(F.broadcast(starts), part).select(*[F.col(f"`{c}`") for c in columns], (F.col(before) + place + 1).alias(name))
 
 
+def best_first(measure: str, *ties: str) -> list[Column]:
+    """The order of a finished table: most first, unknown last, then by what tells the rows apart."""
+    return [F.desc_nulls_last(measure), *map(F.col, ties)]
+
+
 def partition_starts(totals: DataFrame, part: str, sums: Sequence[str]) -> DataFrame:
     """For each partition, the sum of each total over the partitions before it.
 
@@ -53,7 +58,7 @@ def partition_starts(totals: DataFrame, part: str, sums: Sequence[str]) -> DataF
     return walked.select(F.inline("done"))
 
 
-def _free(taken: list[str], name: str) -> str:
+def free_name(taken: Sequence[str], name: str) -> str:
     """A column name that the table does not have."""
     low = {c.lower() for c in taken}
     while name.lower() in low:

@@ -58,6 +58,15 @@ def chunk_of(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(order) / F.lit(chunk_rows))
 
 
+def no_amount(df: DataFrame) -> Column:
+    """Zero, read from every column of a row.
+
+    Spark shares one shuffle between two uses only if both read the same columns of it.  A use whose
+    result this is added to reads them all, whatever is selected from the result later.
+    """
+    return F.xxhash64(*df.columns).bitwiseAND(F.lit(0).cast("bigint"))
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,36 +76,41 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sum of each expression per key in ``order``.
 
-    ``order`` must be unique within a key.  The window covers one (key, chunk); what came
-    before the chunk is added from the chunk totals.  Only chunks after a key's first have
-    anything before them, so that side is small unless there are very large groups.
+    ``order`` must be unique within a key.  One shuffle deals the rows by (key, chunk).  From it come the
+    chunks' totals, whose sums over earlier chunks are carried forward, and the rows themselves,
+    with a window over their chunk: the table is read once and no task sees more than a chunk of a key.
+    Only chunks after a key's first have anything before them, so that side of the join is small
+    unless there are very large groups.  All columns of ``df`` take part; select those needed before.
     Rows with a NULL key keep NULL sums.
     """
     keys = list(keys)
-    parts = {f"_v{i}": value for i, value in enumerate(sums.values())}
-    befores = [f"_before{i}" for i in range(len(parts))]
-    chunked = df.withColumns({**parts, "_chunk": chunk_of(df, order, chunk_rows)})
-
-    chunk_totals = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(v) for v in parts])
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    values = list(sums.values())
+    parts, befores = ([f"{x}{i}" for i in range(len(values))] for x in ("_v", "_before"))
+    # one struct, which is never NULL itself: a key that could be would get a not-null filter in one use only
+    key = F.struct(*keys, chunk_of(df, order, chunk_rows).alias("_chunk"))
+    rows = df.withColumn("_key", key).repartition("_key")
+    zero = no_amount(df)
+
+    chunk_totals = rows.groupBy("_key").agg(*[F.sum(x + zero).alias(v) for v, x in zip(parts, values)])
+    earlier = (
+        Window.partitionBy(*[f"_key.{k}" for k in keys])
+        .orderBy("_key._chunk")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     offsets = chunk_totals.select(
-        *keys,
-        "_chunk",
+        "_key",
         *[F.sum(v).over(earlier).alias(b) for v, b in zip(parts, befores)],
     ).filter(F.coalesce(*befores).isNotNull())
 
-    within = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = chunked.withColumns({v: F.sum(v).over(within) for v in parts})
-    joined = local.join(offsets, [*keys, "_chunk"], "left")
+    within = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumns({v: F.sum(x).over(within) for v, x in zip(parts, values)})
+    kinds = dict(local.dtypes)
+    joined = local.join(offsets, "_key", "left")
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
     names = {
-        new: F.when(known, F.col(v) + F.coalesce(b, F.lit(0)))
+        new: F.when(known, F.col(v) + F.coalesce(b, F.lit(0)) + zero).cast(kinds[v])
         for new, v, b in zip(sums, parts, befores)
     }
     return joined.select(*df.columns, *[c.alias(new) for new, c in names.items()])

@@ -13,10 +13,12 @@ from ballstats.operators.baseline import CLAMP1, IEEE, INCLUSIVE, cells_of, loo_
 from ballstats.operators.entry_point import career_profile, entry_points, season_roster
 from ballstats.operators.filters import Filters, bounds, chosen_players, main_innings, within
 from ballstats.operators.phases import in_phases, phase_totals, with_means, with_phase
+from ballstats.operators.ranking import best_first
 
 STRATA = ["year", "venue", "over"]
 TOTALS = ["runs_scored", "bf", "out"]
 EXPECTED = ["expected_runs", "expected_outs"]
+SEASON_ORDER = ("runs_scored", "player", "year", "team")
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,7 @@ def batting_season(
     main = main_innings(filters.apply(deliveries), max_innings)
     rows = _season_rows(main, empty_baseline, compat)
     rows = chosen_players(_apply_thresholds(rows, thresholds, deliveries, compat), players)
-    return rows.orderBy(F.desc_nulls_last("runs_scored"), "player", "year", "team")
+    return rows.orderBy(*best_first(*SEASON_ORDER))
 
 
 def batting_overall(
@@ -163,7 +165,7 @@ def batting_overall(
     table = with_batting_metrics(careers).withColumns({m: round2(m) for m in metrics})
     table = table.select("player", "median_entry_point", "innings_count", *TOTALS, *metrics, "team")
     table = chosen_players(_apply_thresholds(table, thresholds, deliveries, compat), players)
-    return table.orderBy(F.desc_nulls_last("runs_scored"), "player")
+    return table.orderBy(*best_first("runs_scored", "player"))
 
 
 def batting_phase_season(

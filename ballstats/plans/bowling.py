@@ -13,10 +13,12 @@ from ballstats.operators.baseline import IEEE, loo_expected, roll_up
 from ballstats.operators.entry_point import appearances, median_entry
 from ballstats.operators.filters import Filters, chosen_players, main_innings, within
 from ballstats.operators.phases import in_phases, phase_totals
+from ballstats.operators.ranking import best_first
 
 STRATA = ["year", "venue", "over"]
 TOTALS = ["b", "runs_conceded", "wicket"]
 EXPECTED = ["expected_runs_conceded", "expected_wickets"]
+SEASON_ORDER = ("wicket", "player", "year", "team")
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,7 @@ def bowling_season(
     """One row per (player, team, year), most wickets first."""
     rows = _season_rows(main_innings(filters.apply(deliveries), max_innings), empty_baseline, compat)
     rows = thresholds.apply(rows) if thresholds else rows
-    return chosen_players(rows, players).orderBy(F.desc_nulls_last("wicket"), "player", "year", "team")
+    return chosen_players(rows, players).orderBy(*best_first(*SEASON_ORDER))
 
 
 def bowling_overall(
@@ -139,7 +141,7 @@ def bowling_overall(
     table = with_bowling_metrics(careers).withColumns({c: round2(c) for c in [*EXPECTED, *BOWLING_METRICS]})
     table = table.select("player", "team", *TOTALS, *EXPECTED, *BOWLING_METRICS)
     table = thresholds.apply(table) if thresholds else table
-    return chosen_players(table, players).orderBy(F.desc_nulls_last("wicket"), "player")
+    return chosen_players(table, players).orderBy(*best_first("wicket", "player"))
 
 
 def bowling_phase(

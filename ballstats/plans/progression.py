@@ -14,17 +14,31 @@ from ballstats.operators.totals import CHUNK_ROWS, running_sums
 INNINGS = ["match_id", "innings"]
 
 
+PROGRESS = ["year", *INNINGS, "over"]
+
+
+def _running(deliveries, player, measures, filters, max_innings, order, chunk_rows, columns) -> DataFrame:
+    main = main_innings(filters.apply(deliveries), max_innings)
+    if columns is not None:
+        main = main.select(*dict.fromkeys([*columns, player, *INNINGS, order, *measures.values()]))
+    sums = {new: F.col(c).cast("int") if new == "wickets" else F.col(c) for new, c in measures.items()}
+    return running_sums(main, [player, *INNINGS], order, sums, chunk_rows)
+
+
 def batter_running(
     deliveries: DataFrame,
     filters: Filters = Filters(),
     max_innings: int | None = 2,
     order: str = "seq",
     chunk_rows: int = CHUNK_ROWS,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every delivery with the striker's runs, balls and wickets so far in the innings."""
-    main = main_innings(filters.apply(deliveries), max_innings)
-    sums = {"runs": F.col("runs_off_bat"), "balls": F.col("b"), "wickets": F.col("wicket").cast("int")}
-    return running_sums(main, ["striker", *INNINGS], order, sums, chunk_rows)
+    """Every delivery with the striker's runs, balls and wickets so far in the innings.
+
+    All columns stay, or ``columns`` and those the totals need: only these are read and shuffled.
+    """
+    measures = {"runs": "runs_off_bat", "balls": "b", "wickets": "wicket"}
+    return _running(deliveries, "striker", measures, filters, max_innings, order, chunk_rows, columns)
 
 
 def bowler_running(
@@ -33,11 +47,11 @@ def bowler_running(
     max_innings: int | None = None,
     order: str = "seq",
     chunk_rows: int = CHUNK_ROWS,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every delivery with the bowler's runs conceded, balls and wickets so far."""
-    main = main_innings(filters.apply(deliveries), max_innings)
-    sums = {"runs": F.col("rc"), "balls": F.col("b"), "wickets": F.col("bowler_wicket").cast("int")}
-    return running_sums(main, ["bowler", *INNINGS], order, sums, chunk_rows)
+    measures = {"runs": "rc", "balls": "b", "wickets": "bowler_wicket"}
+    return _running(deliveries, "bowler", measures, filters, max_innings, order, chunk_rows, columns)
 
 
 def progression_rows(running: DataFrame, player: str) -> DataFrame:
@@ -46,11 +60,11 @@ def progression_rows(running: DataFrame, player: str) -> DataFrame:
 
 
 def batter_progression(deliveries: DataFrame, filters: Filters = Filters(), **options) -> DataFrame:
-    return progression_rows(batter_running(deliveries, filters, **options), "striker")
+    return progression_rows(batter_running(deliveries, filters, columns=PROGRESS, **options), "striker")
 
 
 def bowler_progression(deliveries: DataFrame, filters: Filters = Filters(), **options) -> DataFrame:
-    return progression_rows(bowler_running(deliveries, filters, **options), "bowler")
+    return progression_rows(bowler_running(deliveries, filters, columns=PROGRESS, **options), "bowler")
 
 
 def progression_by_ball(rows: DataFrame) -> DataFrame:
@@ -79,11 +93,12 @@ def pivot_by_ball(by_ball: DataFrame, value: str, players: Sequence[str] | None
     return pivoted.agg(round2(F.avg(value)))
 
 
-def wide_lines(by_ball: DataFrame, value: str) -> DataFrame:
-    """The same table as lines of CSV text for each season: (year, place, line), the header at place -1.
+def wide_lines(by_ball: DataFrame, value: str, cells: int = 1 << 22) -> DataFrame:
+    """The same table as lines of CSV text for each season: (year, part, place, line).
 
     The columns are the season's own players in name order, so a season of any number of players
-    has one layout, and no name leaves Spark.
+    has one layout, and no name leaves Spark.  A season is cut by ``balls`` into parts of about
+    ``cells`` cells, at least one line each, and every part begins with the header, at place -1.
     """
     quoted = F.when(F.col("player").rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace("player", F.lit('"'), F.lit('""')), F.lit('"')))
     known = by_ball.filter(F.col(value).isNotNull()).groupBy("year", "balls", "player").agg(round2(F.avg(value)).alias("v"))
@@ -92,11 +107,14 @@ def wide_lines(by_ball: DataFrame, value: str) -> DataFrame:
     header = titles.groupBy("year").agg(
         F.concat_ws(",", F.lit("balls"), F.expr("transform(array_sort(collect_list(struct(player, title))), x -> x.title)")).alias("line")
     )
-    cells = known.groupBy("year", "balls").agg(F.map_from_entries(F.collect_list(F.struct("player", "v"))).alias("cells"))
+    rows = known.groupBy("year", "balls").agg(F.map_from_entries(F.collect_list(F.struct("player", "v"))).alias("cells"))
     written = F.transform("names", lambda n: F.coalesce(F.try_element_at(F.col("cells"), n).cast("string"), F.lit("")))
     line = F.concat_ws(",", F.col("balls").cast("string"), F.array_join(written, ","))
-    body = cells.join(names, "year").select("year", F.col("balls").alias("place"), line.alias("line"))
-    return header.select("year", F.lit(-1).cast("bigint").alias("place"), "line").union(body)
+    part = F.floor(F.col("balls") / F.greatest(F.lit(1), F.floor(F.lit(cells) / F.size("names")))).alias("part")
+    body = rows.join(names, "year").select("year", part, F.col("balls").alias("place"), line.alias("line"))
+    parts = known.select("year", "balls").join(names, "year").select("year", part).distinct()
+    heads = parts.join(header, "year").select("year", "part", F.lit(-1).cast("bigint").alias("place"), "line")
+    return heads.union(body)
 
 
 def career_innings_no(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballstats.functions.numeric import round2
+from ballstats.operators.ranking import number_rows
 from ballstats.plans.progression import wide_lines
+from ballstats.sources.tables import keep
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -47,16 +49,23 @@ def export_pivots(
     path: str,
     values: Sequence[str] = ("ave_runs", "sr"),
     years: Sequence[int] | None = None,
+    cells: int = 1 << 22,
 ) -> None:
     """One wide CSV per value and season, ``value=.../year=.../``: a row per balls, a column per player of that season.
 
-    Lines are built in Spark from one long table and written as text, a season's in order.
+    Lines are built in Spark from one long table and written as text.  A season of more than ``cells``
+    cells becomes several files, each with the header and written by a task of its own; their names
+    follow the order of ``balls``.
     """
     if years is not None:
         by_ball = by_ball.filter(F.col("year").isin(list(years)))
+    by_ball = keep(by_ball)
     lines = None
     for value in values:
-        part = wide_lines(by_ball, value).select(F.lit(value).alias("value"), "year", "place", "line")
+        part = wide_lines(by_ball, value, cells).select(F.lit(value).alias("value"), "year", "part", "place", "line")
         lines = part if lines is None else lines.union(part)
-    ordered = lines.repartition("value", "year").sortWithinPartitions("value", "year", "place")
+    file = ["value", "year", "part"]
+    files = number_rows(lines.filter("place < 0").select(*file), [F.col(c) for c in file], "file")
+    placed = lines.join(F.broadcast(files), file)  # a row for each file that is written
+    ordered = placed.repartitionById(max(1, files.count()), (F.col("file") - 1).cast("int")).sortWithinPartitions("value", "year", "place")
     ordered.select("value", "year", "line").write.mode("overwrite").partitionBy("value", "year").text(path)

@@ -9,6 +9,7 @@ number; :func:`ballstats.sources.tables.ingest` turns it into one.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,9 @@ LEAGUES = {
 # The files of the typed layout.
 TYPED_FILES = ["T20Data.csv", "T20Leagues.csv"]
 
+# Header lines read at a time; each waits for its file system, not for a core.
+HEADER_READERS = 32
+
 # Fixed value: files describing a match rather than its deliveries.
 INFO_MARK = "_info"
 
@@ -94,6 +98,12 @@ def _first_line(spark: SparkSession, path: str) -> str:
     return (line or "").lstrip("\ufeff")
 
 
+def _first_lines(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The header lines of some files, in their order, read many at a time."""
+    with ThreadPoolExecutor(HEADER_READERS) as readers:
+        return list(readers.map(lambda path: _first_line(spark, path), paths))
+
+
 def read_layout(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -112,8 +122,8 @@ def read_layout(
         raise ValueError(f"bad_rows must be 'error' or 'null', not {bad_rows!r}")
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines: dict[str, str] = {}
-    for path in _files(spark, paths):
-        line = _first_line(spark, path)
+    files = _files(spark, paths)
+    for path, line in zip(files, _first_lines(spark, files), strict=True):
         if line:  # a file without a line holds no rows
             lines.setdefault(line, path)
     if len(lines) > 1:
@@ -158,9 +168,10 @@ def merge_csv(
     lacks.  Only file names and header lines reach the driver.
     """
     layouts: dict[str, list[str]] = {}
-    for path in _files(spark, [folder]):
-        name = path.rsplit("/", 1)[-1]
-        if fnmatch(name, pattern) and skip not in name and (line := _first_line(spark, path)):
+    files = [(path, path.rsplit("/", 1)[-1]) for path in _files(spark, [folder])]
+    files = [path for path, name in files if fnmatch(name, pattern) and skip not in name]
+    for path, line in zip(files, _first_lines(spark, files), strict=True):
+        if line:
             layouts.setdefault(line, []).append(path)
     if not layouts:
         raise FileNotFoundError(f"no {pattern} without {skip!r} in {folder}")

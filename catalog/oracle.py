@@ -247,11 +247,11 @@ firsts AS (SELECT * FROM {source} WHERE {player} IS NOT NULL
            QUALIFY row_number() OVER (PARTITION BY {part} ORDER BY seq) = 1)"""
 
 
-def entries(player, keys, truncate=False, exact=False, name="entries"):
+def entries(player, keys, truncate=False, exact=False, name="entries", median="median({})"):
     cols = ", ".join(keys)
     grouping = f"{cols}, " if cols else ""
     return f"""
-{name}_m AS (SELECT {player} AS player, {grouping}median({number('ball', truncate)}) AS m FROM firsts GROUP BY ALL),
+{name}_m AS (SELECT {player} AS player, {grouping}{median.format(number('ball', truncate))} AS m FROM firsts GROUP BY ALL),
 {name} AS (SELECT * EXCLUDE (m), {over_ball('m', exact)} AS median_entry_point FROM {name}_m)"""
 
 
@@ -640,6 +640,10 @@ WHERE player NOT IN (SELECT player{tail})"""
         "typed_prepared": statement(TYPED, final="""SELECT seq, match_id, striker, over, b, runs_off_bat + extras AS rc, notes, types,
 bowl_cat, competition, CAST(wicket AS INTEGER) AS wicket FROM d"""),
         "dedupe_first_seq": statement(RAW, final="SELECT * FROM raw"),
+        "dedupe_by_digest_seq": statement(RAW, final="SELECT * FROM raw"),
+        "entry_point_sketch": statement(
+            D, chosen(), EVERY, first_balls("striker"), entries("striker", [], median="quantile_disc({}, 0.5)"),
+            final="SELECT * FROM entries"),
         "date_forms": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders",
         "date_parse_mixed": f"""SELECT o_orderkey, {DATE_TEXT} AS text, CAST({DATE_READ} AS VARCHAR) AS date,
 CAST(year({DATE_READ}) AS INTEGER) AS year FROM orders""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import ballstats as bs
@@ -13,6 +13,9 @@ from ballstats.functions.numeric import np_div, np_sub, round2
 from ballstats.operators.baseline import IEEE, LOO, loo_expected, roll_up
 from ballstats.operators.entry_point import entry_points
 from ballstats.operators.filters import main_innings
+from ballstats.operators.prepare import dedupe_by_digest
+from ballstats.operators.ranking import best_first, number_rows
+from ballstats.plans import batting, bowling
 from ballstats.plans.batting import batting_cells
 from ballstats.schema import DELIVERIES
 from ballstats.sinks.export import export_ball_by_ball, export_by_ball, export_pivots, export_progression
@@ -84,6 +87,13 @@ def dedupe_first_seq(spark, sf):
     return bs.dedupe_first(once.unionByName(again))
 
 
+def dedupe_by_digest_seq(spark, sf):
+    """A table of which every tenth row is there again."""
+    once = deliveries_from_events(spark, sf)
+    again = once.filter("seq % 10 = 0").withColumn("seq", F.col("seq") + 10_000_000_000)
+    return dedupe_by_digest(once.unionByName(again))
+
+
 def typed_prepared(spark, sf):
     columns = ["seq", "match_id", "striker", "over", "b", "rc", "notes", "types", "bowl_cat", "competition", "wicket"]
     return _plain(typed(spark, sf).select(*columns))
@@ -148,6 +158,11 @@ def entry_point_overall(spark, sf):
     return entry_points(bs.Filters().apply(deliveries(spark, sf)), "striker")
 
 
+def entry_point_sketch(spark, sf):
+    """The lower median from a sketch, which is exact for up to 10,000 innings of a player."""
+    return entry_points(bs.Filters().apply(deliveries(spark, sf)), "striker", accuracy=10_000)
+
+
 def entry_point_bowling(spark, sf):
     return entry_points(bs.Filters().apply(deliveries(spark, sf)), "bowler", ["year", "bowling_team"])
 
@@ -204,19 +219,18 @@ def distinct_values(spark, sf):
 
 
 # --- finished tables ---------------------------------------------------------------------------
-def _ranked(table: DataFrame, *columns: str) -> DataFrame:
-    """The place of each row in the order the table comes in; a finished table has a row per player and season."""
-    placed = table.withColumn("_at", F.monotonically_increasing_id())
-    rank = F.row_number().over(Window.orderBy("_at")).cast("bigint")
-    return placed.select(rank.alias("rank"), *columns)
+def _ranked(table: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The place of each row in a finished table's order."""
+    measure, *ties = order
+    return number_rows(table, best_first(*order), "rank").select("rank", *ties, measure)
 
 
 def batting_ranked(spark, sf):
-    return _ranked(bs.batting_season(deliveries(spark, sf)), "player", "year", "team", "runs_scored")
+    return _ranked(bs.batting_season(deliveries(spark, sf)), batting.SEASON_ORDER)
 
 
 def bowling_ranked(spark, sf):
-    return _ranked(bs.bowling_season(deliveries(spark, sf)), "player", "year", "team", "wicket")
+    return _ranked(bs.bowling_season(deliveries(spark, sf)), bowling.SEASON_ORDER)
 
 
 def bowling_thresholds(spark, sf):
@@ -436,6 +450,7 @@ QUERIES = {
     "deliveries_prepared": deliveries_prepared,
     "typed_prepared": typed_prepared,
     "dedupe_first_seq": dedupe_first_seq,
+    "dedupe_by_digest_seq": dedupe_by_digest_seq,
     "date_parse_mixed": date_parse_mixed,
     "date_forms": date_forms,
     "batting_cells": batting_cells_q,
@@ -468,6 +483,7 @@ QUERIES = {
     "entry_point_bowling_career": entry_point_bowling_career,
     "entry_point_season": entry_point_season,
     "entry_point_overall": entry_point_overall,
+    "entry_point_sketch": entry_point_sketch,
     "entry_point_bowling": entry_point_bowling,
     "entry_point_matchup": entry_point_matchup,
     "filter_stack": filter_stack,

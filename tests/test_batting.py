@@ -1,5 +1,7 @@
 """Batting against hand-worked tables."""
 
+import random
+
 import pytest
 from conftest import by, rows_of
 
@@ -110,6 +112,17 @@ def test_overall_adds_rounded_seasons(raw):
     assert overall["expected_sr"] == 33.0
 
 
+@pytest.mark.parametrize("accuracy", [5, 20, 10_000])
+def test_entry_points_from_a_sketch(raw, accuracy):
+    """The entry lies within n / accuracy ranks of the middle."""
+    rng = random.Random(accuracy)
+    balls = [over + rng.randint(1, 6) / 10 for over in (rng.randint(0, 19) for _ in range(3001))]
+    d = bs.prepare_deliveries(raw([{"match_id": i, "ball": b} for i, b in enumerate(balls)]))
+    got = by(entry_points(d, "striker", accuracy=accuracy), "player")["A"]["median_entry_point"]
+    below, upto = sum(b < got - 1e-9 for b in balls), sum(b <= got + 1e-9 for b in balls)
+    assert below <= 1501 + 3001 / accuracy and upto >= 1501 - 3001 / accuracy
+
+
 def test_entry_points(raw):
     rows = [{"match_id": m, "ball": b, "runs_off_bat": 1} for m, b in [(1, 1.1), (2, 1.2)]]
     rows += [{"match_id": 1, "ball": 9.1, "runs_off_bat": 1}]

@@ -8,7 +8,7 @@ from conftest import SF, by, rows_of
 from pyspark.sql import functions as F
 
 import ballstats as bs
-from ballstats.operators.prepare import dedupe_first
+from ballstats.operators.prepare import dedupe_by_digest, dedupe_first
 from ballstats.schema import DELIVERIES
 from ballstats.sinks.export import export_ball_by_ball, export_pivots, write_by_year
 from ballstats.sources.csv import load_deliveries, load_league, merge_csv, read_layout, union_sources
@@ -95,6 +95,18 @@ def test_repeated_rows_keep_the_first_place(spark, raw):
     assert dedupe_first(marked).count() == 3
 
 
+@pytest.mark.parametrize("digest", [None, "all alike", "three"])
+def test_rows_whose_digest_repeats(spark, raw, digest):
+    """Colliding digests only move more rows; NULLs in different columns share a digest anyway."""
+    rows = [{"seq": s, "ball": b} for s, b in [(4, 0.1), (2, 0.1), (9, 0.2), (7, 0.1), (1, None), (3, None), (5, 0.3)]]
+    rows += [{"seq": 11, "striker": None, "non_striker": "A"}, {"seq": 12, "striker": "A", "non_striker": None}]
+    df = raw(rows)
+    given = {None: None, "all alike": F.lit(7).cast("bigint"), "three": F.col("seq") * 0 + F.coalesce(F.col("ball") * 10, F.lit(0)).cast("bigint") % 3}[digest]
+    got = sorted((tuple(r) for r in dedupe_by_digest(df, digest=given).collect()), key=str)
+    assert got == sorted((tuple(r) for r in dedupe_first(df).collect()), key=str) and len(got) == 6
+    assert dedupe_by_digest(df.limit(0)).collect() == []
+
+
 def test_a_re_merged_file_changes_nothing(spark, tmp_path):
     rows = [ball(ball=b / 10, runs_off_bat=b) for b in range(1, 7)] + [ball(striker="B", ball=1.1)]
     write(tmp_path / "a.csv", rows)
@@ -200,3 +212,45 @@ def test_a_ball_without_a_match_is_no_innings(spark, raw):
 def test_scratch_follows_the_session(spark):
     assert scratch_path(spark) != scratch_path(spark)
     assert scratch_path(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_header_lines_are_read_side_by_side(spark, tmp_path, monkeypatch):
+    """Ten thousand sequential opens would take as many round trips; here many wait at once."""
+    import threading
+    import time
+
+    from ballstats.sources import csv as source
+
+    for i in range(60):
+        write(tmp_path / f"{i:02}.csv", [ball(match_id=i)], HEADER if i % 2 else list(reversed(HEADER)))
+    one, open_now, most, lock = source._first_line, [0], [0], threading.Lock()
+
+    def slow(session, path):
+        with lock:
+            open_now[0] += 1
+            most[0] = max(most[0], open_now[0])
+        time.sleep(0.05)
+        try:
+            return one(session, path)
+        finally:
+            with lock:
+                open_now[0] -= 1
+
+    monkeypatch.setattr(source, "_first_line", slow)
+    merged = merge_csv(spark, str(tmp_path))
+    assert 8 < most[0] <= source.HEADER_READERS
+    assert sorted(r["match_id"] for r in rows_of(merged)) == list(range(60))
+
+
+def test_pivot_of_a_large_season_is_many_files(spark, tmp_path):
+    rows = [(y, f"P{p}", b, float(b), 2.0 * b) for y in (2021, 2022) for p in range(4) for b in range(1, 31)]
+    by_ball = spark.createDataFrame(rows, "year int, player string, balls bigint, ave_runs double, sr double")
+    export_pivots(by_ball, str(tmp_path / "p"), cells=40)  # ten lines a file
+    folder = tmp_path / "p/value=sr/year=2022"
+    files = sorted(folder.glob("part-*"))
+    assert len(files) == 4
+    texts = [f.read_text().splitlines() for f in files]
+    assert {t[0] for t in texts} == {"balls,P0,P1,P2,P3"}
+    assert [line.split(",")[0] for t in texts for line in t[1:]] == [str(b) for b in range(1, 31)]
+    read = spark.read.option("header", True).csv(str(folder))
+    assert read.count() == 30 and read.columns == ["balls", "P0", "P1", "P2", "P3"]

@@ -105,6 +105,42 @@ def test_running_sums_against_brute_force(spark, chunk, structured):
     assert {r["i"]: r["s"] for r in rows_of(got)} == want
 
 
+def executed(df):
+    """The plan that ran, where a shuffle that is shared stands once."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_scans(df):
+    plan = executed(df).split("== Initial Plan ==")[0]
+    return plan.count("FileScan")
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    from conftest import SF
+
+    from ballstats.sources.starschema import deliveries_from_events
+
+    bs.prepare_deliveries(deliveries_from_events(spark, SF)).write.parquet(str(tmp_path / "d"))
+    return spark.read.parquet(str(tmp_path / "d"))
+
+
+@pytest.mark.parametrize("chunk", [100, 1 << 20])
+def test_running_totals_read_the_source_once(stored, chunk):
+    assert final_scans(bs.batter_running(stored, chunk_rows=chunk)) == 1
+    assert final_scans(bs.batter_running(stored, chunk_rows=chunk).select("seq", "runs")) == 1
+    assert final_scans(bs.bowler_progression(stored, chunk_rows=chunk)) == 1
+
+
+@pytest.mark.parametrize("chunk", [100, 1 << 20])
+def test_positions_read_the_source_once(stored, chunk):
+    placed = bs.with_batting_position(stored, chunk_rows=chunk)
+    assert final_scans(placed) == 1
+    assert final_scans(placed.select("seq", "batting_position")) == 1
+
+
 @pytest.mark.parametrize("slices", [1, 4, 32])
 def test_group_totals_of_a_hot_group(spark, slices):
     rng = random.Random(9)
