@@ -53,8 +53,7 @@ def _reader(spark: SparkSession):
     return spark.read.option("header", True).option("escape", '"')
 
 
-def _typed(name: str, kind: T.DataType) -> Column:
-    text = F.col(f"`{name}`")
+def _typed(text: Column, kind: T.DataType) -> Column:
     text = F.when(~text.isin(MISSING), text)
     if isinstance(kind, T.StringType):
         return text
@@ -115,8 +114,9 @@ def read_layout(
 
     Columns of ``schema`` that the files lack are NULL; other columns are carried as text,
     except the index a written-out table starts with.  A row with more or fewer fields than the
-    header is an error, or with ``bad_rows="null"`` is filled up with NULL or cut.  Line breaks
-    within quotes need ``multiline``, which reads each file in one task.
+    header is an error, or with ``bad_rows="null"`` is filled up with NULL or cut.  Selecting columns
+    later parses only those.  Line breaks within quotes need ``multiline``, which reads each
+    file in one task and parses all columns.
     """
     if bad_rows not in ("error", "null"):
         raise ValueError(f"bad_rows must be 'error' or 'null', not {bad_rows!r}")
@@ -129,21 +129,51 @@ def read_layout(
     if len(lines) > 1:
         (_, first), (_, other), *_ = lines.items()
         raise ValueError(f"{other} has another header than {first}")
-    return _read(spark, paths, schema, multiline, bad_rows)
+    return _read(spark, paths, next(iter(lines), ""), schema, multiline, bad_rows)
 
 
-def _read(spark: SparkSession, paths: list[str], schema: T.StructType, multiline: bool, bad_rows: str) -> DataFrame:
-    reader = _reader(spark).option("multiLine", multiline)
-    header = reader.csv(paths).columns
+def _whole_rows(spark: SparkSession, paths: list[str], header: list[str], bad_rows: str) -> tuple[DataFrame, list[Column]]:
+    """Rows whose quotes may hold line breaks, and their fields, by Spark's reader: every field of a row is parsed."""
     texts = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    # a row's fields can only be counted if all of them are parsed
+    # a row's fields can only be counted there if all of them are parsed
     strict = {"mode": "FAILFAST", "columnPruning": False} if bad_rows == "error" else {"mode": "PERMISSIVE"}
-    rows = reader.options(**strict).schema(texts).csv(paths)
+    rows = _reader(spark).option("multiLine", True).options(**strict).schema(texts).csv(paths)
+    return rows, [F.col(f"`{h}`") for h in header]
+
+
+def _line_rows(spark: SparkSession, paths: list[str], line: str, header: list[str], bad_rows: str) -> tuple[DataFrame, list[Column]]:
+    """Rows that are one line each, and their fields.
+
+    A line without quotes is counted by its commas, and a field is cut out only where it is selected.
+    Lines with quotes go through Spark's parser.  Blank lines and repetitions of the header are no rows.
+    """
+    value = F.col("value")
+    lines = spark.read.text(paths).filter((F.trim(value) != "") & ~value.isin(line, "\ufeff" + line))
+    quoted, n = value.contains('"'), len(header)
+    names = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(n)])
+    mode = "FAILFAST" if bad_rows == "error" else "PERMISSIVE"
+    parsed = F.from_csv(value, names.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"', "mode": mode})
+    if bad_rows == "error":
+        commas = F.length(value) - F.length(F.replace(value, F.lit(","), F.lit("")))
+        wrong = F.concat(F.lit(f"malformed row, not of {n} fields: "), value)
+        whole = F.when(quoted, parsed.isNotNull()).otherwise((commas == n - 1) | F.raise_error(wrong).cast("boolean"))
+        lines = lines.filter(whole)
+    rows = lines.withColumns({"_plain": F.when(~quoted, F.split(value, ",", -1)), "_parsed": F.when(quoted, parsed)})
+    return rows, [F.coalesce(F.get("_plain", F.lit(i)), F.col(f"_parsed.f{i}")) for i in range(n)]
+
+
+def _read(spark: SparkSession, paths: list[str], line: str, schema: T.StructType, multiline: bool, bad_rows: str) -> DataFrame:
+    header = _reader(spark).option("multiLine", multiline).csv(paths).columns
+    if multiline:
+        rows, fields = _whole_rows(spark, paths, header, bad_rows)
+    else:
+        rows, fields = _line_rows(spark, paths, line, header, bad_rows)
+    text = dict(zip(header, fields, strict=True))
     known = [
-        (_typed(f.name, f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
+        (_typed(text[f.name], f.dataType) if f.name in text else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
-    extra = [F.col(f"`{h}`") for h in header if h not in schema.fieldNames() and h not in INDEX_COLUMNS]
+    extra = [F.nullif(text[h], F.lit("")).alias(h) for h in header if h not in schema.fieldNames() and h not in INDEX_COLUMNS]
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -175,7 +205,7 @@ def merge_csv(
             layouts.setdefault(line, []).append(path)
     if not layouts:
         raise FileNotFoundError(f"no {pattern} without {skip!r} in {folder}")
-    parts = [_read(spark, paths, schema, multiline, bad_rows) for paths in layouts.values()]
+    parts = [_read(spark, paths, line, schema, multiline, bad_rows) for line, paths in layouts.items()]
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)

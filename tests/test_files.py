@@ -1,6 +1,8 @@
 """CSV in, tables and exports out."""
 
 import csv
+import random
+import re
 from pathlib import Path
 
 import pytest
@@ -254,3 +256,40 @@ def test_pivot_of_a_large_season_is_many_files(spark, tmp_path):
     assert [line.split(",")[0] for t in texts for line in t[1:]] == [str(b) for b in range(1, 31)]
     read = spark.read.option("header", True).csv(str(folder))
     assert read.count() == 30 and read.columns == ["balls", "P0", "P1", "P2", "P3"]
+
+
+def test_lines_and_whole_files_give_the_same_rows(spark, tmp_path):
+    """Fields cut out of lines against Spark's own reader."""
+    rng = random.Random(4)
+    texts = ["", "x", " lead", "trail ", "a,b", 'say "so"', '"', "5' 10", "é漢", "NA", '""', ",", "tab\there", "#"]
+    rows = [ball(venue=rng.choice(texts), striker=rng.choice(texts), extra=rng.choice(texts), wides=rng.choice(["", "1", "1.0", "x"])) for _ in range(400)]
+    write(tmp_path / "a.csv", rows, [*HEADER, "extra"])
+    text = (tmp_path / "a.csv").read_text().replace("\r\n", "\n")
+    for i, changed in enumerate([text, text.replace("\n", "\r\n"), text.replace("\n", "\n\n"), "\ufeff" + text, text.rstrip("\n")]):
+        (tmp_path / f"{i}.txt").write_text(changed, newline="")
+        path = str(tmp_path / f"{i}.txt")
+        one, two = (
+            [tuple(r)[:-1] for r in read_layout(spark, path, DELIVERIES, multiline=m).orderBy("seq").collect()] for m in (False, True)
+        )
+        assert one == two and len(one) == 400, i
+
+
+@pytest.mark.parametrize("row", ["1,2", '"1",2', ",".join("1" * 16), '"1",' + ",".join("1" * 15), '1,"open'])
+def test_odd_rows_are_errors_whatever_is_selected(spark, tmp_path, row):
+    write(tmp_path / "a.csv", [ball(), ball(striker="B")])
+    with open(tmp_path / "a.csv", "a") as f:
+        f.write(row + "\n")
+    df = read_layout(spark, str(tmp_path / "a.csv"), DELIVERIES)
+    for look in (lambda: df.count(), lambda: df.select("striker").collect(), lambda: df.collect()):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            look()
+    assert read_layout(spark, str(tmp_path / "a.csv"), DELIVERIES, bad_rows="null").select("striker").count() == 3
+
+
+def test_only_selected_fields_are_cut_out(spark, tmp_path):
+    write(tmp_path / "a.csv", [ball()])
+    df = read_layout(spark, str(tmp_path / "a.csv"), DELIVERIES)
+    plan = df.select("striker", "venue", "ball")._jdf.queryExecution().optimizedPlan().toString()
+    used = {int(x) for x in re.findall(r"_plain#\d+\[(\d+)\]", plan)} | {int(x) for x in re.findall(r"get\(_plain#\d+, (\d+)\)", plan)}
+    header = list(ball())
+    assert used == {header.index(c) for c in ("striker", "venue", "ball")}
