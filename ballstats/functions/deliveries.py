@@ -53,26 +53,21 @@ def over_number(ball: Column) -> Column:
 # Month names, and the ways a date is written besides ISO; a time may follow each.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 MONTH_NAME = (
-    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+    r"(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
     r"|nov(?:ember)?|dec(?:ember)?)"
 )
-TIME = r"(?:[T ]\s*\d{1,2}:\d{2}.*)?$"
-YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + TIME
-PACKED = r"^(\d{4})(\d{2})(\d{2})" + TIME
-MONTH_FIRST = r"^(0?[1-9]|1[0-2])[/.-](\d{1,2})[/.-](\d{4}|\d{2})" + TIME
-DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})" + TIME
-DAY_NAMED = rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[ .-]+{MONTH_NAME}[ .,-]+(\d{{4}}|\d{{2}})" + TIME
-NAME_FIRST = rf"(?i)^{MONTH_NAME}[ .-]+(\d{{1,2}})(?:st|nd|rd|th)?[ ,.-]+(\d{{4}}|\d{{2}})" + TIME
+TIME = r"(?:[Tt ]\s*\d{1,2}:\d{2}.*)?$"
+YEAR, DAY, NTH = r"(\d{4}|\d{2})", r"(\d{1,2})", r"(?i:st|nd|rd|th)?"
+YEAR_FIRST = rf"^(\d{{4}})(?:[/.]{DAY}[/.]{DAY}|(\d{{2}})(\d{{2}}))" + TIME
+MONTH_FIRST = rf"^(?:(0?[1-9]|1[0-2])[/.-]{DAY}[/.-]|({MONTH_NAME})[ .-]+{DAY}{NTH}[ ,.-]+){YEAR}" + TIME
+DAY_FIRST = rf"^{DAY}(?:[/.-]{DAY}[/.-]|{NTH}[ .-]+({MONTH_NAME})[ .,-]+){YEAR}" + TIME
 CENTURY = r"^=(?=(?:[0-5]\d|6[0-8])-)"  # two-digit years up to 68 are of the 2000s, the others of the 1900s
 
-# A form and how it is written as year-month-day; the mark in front keeps later forms off.
+# A form and how it is written as year-month-day; the mark in front keeps later forms off, a group that is not there is empty.
 REWRITES = [
-    (YEAR_FIRST, "=$1-$2-$3"),
-    (PACKED, "=$1-$2-$3"),
-    (MONTH_FIRST, "=$3-$1-$2"),
-    (DAY_FIRST, "=$3-$2-$1"),
-    (DAY_NAMED, "=$3-$2-$1"),
-    (NAME_FIRST, "=$3-$1-$2"),
+    (YEAR_FIRST, "=$1-$2$4-$3$5"),
+    (MONTH_FIRST, "=$5-$1$3-$2$4"),
+    (DAY_FIRST, "=$4-$2$3-$1"),
     (CENTURY, "=20"),
     (r"^=(?=\d\d-)", "=19"),
 ]
@@ -86,10 +81,10 @@ def iso_date_text(text: Column) -> Column:
     out = text
     for form, written in REWRITES:
         out = F.regexp_replace(out, form, written)
-    # the month's name becomes its place in a list of three-letter names
-    name = F.lower(F.regexp_extract(out, "^=[0-9]+-([a-zA-Z]{3})", 1))
-    number = F.call_function("locate", name, F.lit(" ".join(MONTHS))) + 3
-    out = F.regexp_replace(out, F.lit("^(=[0-9]+)-[a-zA-Z]+-"), F.concat(F.lit("$1-"), F.shiftright(number, 2).cast("string"), F.lit("-")))
+    # a month's name becomes its place in a list of three-letter names
+    name = F.lower(F.regexp_extract(text, f"(?i)({'|'.join(MONTHS)})", 1))
+    number = F.shiftright(F.call_function("locate", name, F.lit(" ".join(MONTHS))) + 3, 2)
+    out = F.regexp_replace(out, F.lit("^(=[0-9]+)-[a-zA-Z]+-"), F.concat(F.lit("$1-"), number.cast("string"), F.lit("-")))
     return F.when(text.rlike(r"^(?:=|\d{4}-)"), text).otherwise(F.ltrim(out, F.lit("=")))
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ballstats.functions import deliveries as rules
 from ballstats.functions import numeric as num
 from ballstats.functions.metrics import with_batting_metrics
+from ballstats.operators.prepare import prepare_deliveries
 
 INF = float("inf")
 
@@ -124,6 +126,29 @@ def test_match_dates(spark, text, want):
     assert one(spark, rules.match_date(F.lit(text).cast("string"))) == (want,)
 
 
+def test_every_form_of_many_dates(spark):
+    """Each form written by Python's own formatting; day first only where it can be told."""
+    rng = random.Random(3)
+    forms = ["%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%m/%d/%Y", "%m-%d-%y", "%m.%d.%Y", "%d %b %Y", "%d-%B-%y", "%b %d, %Y", "%B %d %y", "%d.%b.%Y"]
+    rows = []
+    for _ in range(600):
+        day = dt.date(1969, 1, 1) + dt.timedelta(rng.randrange(365 * 99))
+        form = rng.choice([*forms, "%d/%m/%Y", "%d-%m-%y"] if day.day > 12 else forms)
+        text = day.strftime(form) + rng.choice(["", "", " 10:30", "T10:30:00"])
+        text = rng.choice([text, text.upper(), f" {text} "]) if "%b" in form.lower() else text
+        rows.append((text.replace(" 0", " ") if rng.random() < 0.3 and "%b" in form.lower() else text, day))
+    df = spark.createDataFrame(rows, "text string, day date")
+    wrong = df.withColumn("got", rules.match_date(F.col("text"), "null")).filter("not (got <=> day)").collect()
+    assert wrong == []
+
+
+def test_a_date_is_read_once_in_a_plan(spark, raw):
+    """The rule is short enough that generated code stays small, and no stage holds it more often than filter and value."""
+    plan = prepare_deliveries(raw([{}])).filter("year = 2023").select("date", "year", "striker")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("regexp_replace") <= 2 * (len(rules.REWRITES) + 1)
+
+
 @pytest.mark.parametrize("text", ["soon", "31/31/2020", "20231301", "1 Foo 2023", ""])
 def test_unreadable_dates(spark, text):
     with pytest.raises(Exception, match="unreadable date"):
