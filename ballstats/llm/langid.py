@@ -215,7 +215,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     chosen = rows.select(
         F.col(lang).cast("string").alias("lang"), order.alias("order"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("piece")
     )
-    chosen = chosen.join(limit, "lang").filter(F.pmod("order", F.lit(1 << 40)) < F.col("limit"))
+    chosen = chosen.join(F.broadcast(limit), "lang")  # as many rows as the driver has just held
+    chosen = chosen.filter(F.pmod("order", F.lit(1 << 40)) < F.col("limit")).drop("limit")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
     sample = chosen.withColumn("rank", rank).filter(F.col("rank") <= each)
     got = sample.orderBy("lang", "rank").collect()
