@@ -30,8 +30,8 @@ from ballstats.llm.tokens import LOWER, SPACES, Words, blocks, other_hashes, wor
 
 CUTOFF = 5
 TAIL = 0.01  # counts above the cutoff lose this much, so that any context has something left
-CHUNK_TOKENS = 3_000_000
-SLICES, PARTS, OWNER_BYTES = 3, 12, 32 << 20
+CHUNK_TOKENS = 2_500_000
+SLICES, PARTS, OWNER_BYTES = 3, 12, 16 << 20
 HOT_SAMPLE, HOT_SHARE = 2000, 1 / 64
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 _BLOBS = "kind string, chunk bigint, a binary, b binary, c binary, d binary"
@@ -365,7 +365,9 @@ def _count_chunks(chunks: list[_Chunk], hot: np.ndarray) -> list[tuple]:
         sums = np.stack([np.bincount(doc, x, n) for x in (value[pair], base[head])])
         tallies = [np.bincount(doc, minlength=n), np.bincount(doc, known_word[head], n)]
         tallies += [np.bincount(doc, k == r, n) for r in range(1, CUTOFF + 1)]
-        out.append(("sums", c.number, own.tobytes(), sums.tobytes(), np.stack(tallies).astype(np.uint32).tobytes(), None))
+        tallies = np.stack(tallies)
+        tallies = tallies.astype(np.uint8 if tallies.max(initial=0) < 256 else np.uint32)  # every owner has a few of a document's pairs
+        out.append(("sums", c.number, own.tobytes(), sums.tobytes(), tallies.tobytes(), None))
         new = np.flatnonzero(k == 0)
         if len(new):
             lone = own_total[pair[new]] == 0
@@ -386,7 +388,8 @@ def _documents(table: pa.Table) -> pa.Table:
         if r["kind"] == "sums":
             own = np.frombuffer(r["a"], np.uint32)
             sums[:, own] += np.frombuffer(r["b"], np.float64).reshape(2, -1)
-            tallies[:, own] += np.frombuffer(r["c"], np.uint32).reshape(2 + CUTOFF, -1)
+            narrow = len(r["c"]) == len(own) * (2 + CUTOFF)
+            tallies[:, own] += np.frombuffer(r["c"], np.uint8 if narrow else np.uint32).reshape(2 + CUTOFF, -1)
     columns = [
         pa.array([table["chunk"][0].as_py()] * n, pa.int64()),
         pa.array(np.arange(n)),
